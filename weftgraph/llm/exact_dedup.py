@@ -42,7 +42,7 @@ def chunks(text: Column) -> Column:
 
 
 def identifier(chunk: Column) -> Column:
-    return F.struct(F.xxhash64(chunk).alias("h"), F.crc32(chunk.cast("binary")).cast("int").alias("c"), F.octet_length(chunk).alias("n"))
+    return F.struct(F.xxhash64(chunk).alias("h"), F.crc32(chunk.cast("binary")).alias("c"), F.octet_length(chunk).alias("n"))
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

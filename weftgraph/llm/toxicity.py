@@ -2,18 +2,19 @@
 
 The kernel of two strings sums, over all subsequences of LENGTH characters they share, DECAY to the power
 of the stretch they take in both; normalised, it is 1 for equal strings and stays high when characters
-are inserted or gaps opened ("id.iot", "i d i o t"). Landmarks are the words that tell toxic from clean
-training documents best; the Nystroem map of a string is its kernel with the landmarks times the inverse
+are inserted or gaps opened ("id.iot", "i d i o t"). Landmarks are the pieces of words that tell toxic from
+clean training documents best; a unit has with a landmark the highest kernel of its windows of about the
+landmark's length, so that stems show in longer words. The Nystroem map of a string is its kernel with the landmarks times the inverse
 square root of their own kernel matrix.
 
 A sentence stands for its unit (a word, or a run of single characters) that is most like a landmark; a
 linear machine is trained on labelled sentences: those of clean documents, and of toxic documents the one
 with the highest margin (chosen anew each round), each also with inserted characters and gaps. A document
-has the margin of its worst sentence, turned into a probability by a logistic fit on training documents
-that the machine has not seen.
+has the margins of its three worst units, turned into a probability by a logistic fit on training
+documents that the machine has not seen.
 
-A unit that lacks two or more of a landmark's letters has kernel 0 with it: such a pair can share little,
-and most words need no kernel at all. Long units are read in overlapping pieces.
+A window that lacks two or more of a landmark's letters has kernel 0 with it, and so has one whose kernel
+is below LEAST: most words need no kernel at all. Long units are read in overlapping parts.
 
 The model is fitted on at most 2 * PER_CLASS labelled rows (whole texts) outside the held-out fold and is
 small whatever the size of the corpus. Scoring is one pass without a shuffle.
@@ -39,8 +40,12 @@ from .common import crc_bucket, map_arrow, rows
 from .labelled import training_rows
 
 MODULUS, HELD_OUT, PER_CLASS = 4, 2, 2000
-LENGTH, DECAY, LANDMARKS, PIECE = 3, 0.6, 24, 20
+LENGTH, DECAY, LANDMARKS = 3, 0.6, 32
+#: Lengths of landmarks; parts that long units are read in, and their overlap; kernels below LEAST count as 0.
+SHORT, LONG, LONGEST, OVERLAP, LEAST = 4, 7, 40, 14, 0.5
 REMEMBERED = 400_000
+#: Units whose margins make a document's score.
+WORST = 3
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 EDGES = ".,;:!?\"'()[]{}"
@@ -55,10 +60,6 @@ def units(sentence: str) -> list[str]:
     return found
 
 
-def cut_pieces(unit: str) -> list[str]:
-    return [unit] if len(unit) <= PIECE else [unit[i : i + PIECE] for i in range(0, len(unit) - PIECE // 2, PIECE // 2)]
-
-
 def codes(strings: list[str], width: int) -> np.ndarray:
     """Code points, -1 past the end."""
     out = np.full((len(strings), width), -1, np.int32)
@@ -88,8 +89,9 @@ def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH, decay: float = DE
     return total
 
 
-def letters(s: str) -> frozenset:
-    return frozenset(c for c in s if c.isalnum())
+def _bits(c: np.ndarray) -> np.ndarray:
+    """One of 64 bits for each character, none past the end."""
+    return np.where(c >= 0, np.uint64(1) << (c % 61).astype(np.uint64), np.uint64(0))
 
 
 @dataclass
@@ -99,51 +101,77 @@ class Model:
     root: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
 
+def marked(unit: str) -> str:
+    """A unit between its end marks, at most LONGEST characters (longer ones are read in parts)."""
+    return f"^{unit}$"
+
+
+def parts(unit: str) -> list[str]:
+    whole = marked(unit)
+    return [whole] if len(whole) <= LONGEST else [whole[i : i + LONGEST] for i in range(0, len(whole) - OVERLAP, LONGEST - OVERLAP)]
+
+
 class Machine(dict):
-    """unit -> normalised kernel row with the landmarks (None where it is zero)."""
+    """unit -> highest normalised kernel of a window of the unit with each landmark (None where all are zero)."""
 
     def __init__(self, landmarks: list[str], own: np.ndarray | None = None):
         super().__init__()
         self.landmarks = landmarks
         self.codes = codes(landmarks, max(map(len, landmarks)))
         self.own = own if own is not None else np.sqrt(kernel(self.codes, self.codes))
-        self.sets = [letters(x) for x in landmarks]
-        self.needed = [max(2, len(x) - 1) for x in self.sets]
-        self.floor = min(len(x) for x in landmarks) - 1
+        self.masks = np.array([np.bitwise_or.reduce(_bits(codes([x], len(x))[0])) for x in landmarks])
+        self.needed = np.maximum(2, np.bitwise_count(self.masks).astype(np.int64) - 1)
+        # (width, landmarks): windows as long as the landmark, with two characters more, and with a character in every gap.
+        self.widths: dict[int, list[int]] = {}
+        for k, x in enumerate(landmarks):
+            for w in {len(x), len(x) + 2, 2 * len(x) - 1}:
+                self.widths.setdefault(w, []).append(k)
 
     def learn(self, new: set[str]) -> None:
         """Kernel rows of units not seen so far, all in one go."""
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-        pairs, names = [], []
-        for u in new:
-            self[u] = None
-            if len(u) < self.floor:
-                continue
-            for p in cut_pieces(u):
-                have = letters(p)
-                if len(have) >= 2:
-                    for k, (want, least) in enumerate(zip(self.sets, self.needed, strict=True)):
-                        if len(want & have) >= least:
-                            pairs.append(k)
-                            names.append((u, p))
-        for a in range(0, len(pairs), 8_000):
-            ks, part = np.array(pairs[a : a + 8_000]), names[a : a + 8_000]
-            distinct = sorted({p for _, p in part})
-            at = {p: i for i, p in enumerate(distinct)}
-            s = codes(distinct, max(map(len, distinct)))
-            own = np.sqrt(kernel(s, s))
-            rows_ = np.array([at[p] for _, p in part])
-            value = kernel(s[rows_], self.codes[ks]) / np.maximum(own[rows_] * self.own[ks], 1e-12)
-            for (u, _), k, v in zip(part, ks.tolist(), value.tolist(), strict=True):
-                row = self[u]
-                if row is None:
-                    row = self[u] = np.zeros(len(self.landmarks))
-                row[k] = max(row[k], v)
+        self.update(dict.fromkeys(new))
+        names = [(u, p) for u in sorted(new) for p in parts(u)]
+        for a in range(0, len(names), 5_000):
+            self._learn(names[a : a + 5_000])
+
+    def _learn(self, names: list[tuple[str, str]]) -> None:
+        longest = max(len(p) for _, p in names)
+        text = codes([p for _, p in names], longest)
+        size = (text >= 0).sum(axis=1)
+        bit = _bits(text)
+        for width, ks in self.widths.items():
+            w = min(width, longest)
+            mask = np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(bit, w, axis=1), axis=2)
+            # Windows end within the string; a string shorter than the window is one window.
+            inside = np.arange(mask.shape[1])[None, :] <= np.maximum(size - w, 0)[:, None]
+            for k in ks:
+                at, off = np.nonzero(inside & (np.bitwise_count(mask & self.masks[k]) >= self.needed[k]))
+                if len(at):
+                    self._score(names, text, at, off, w, k)
+
+    def _score(self, names: list, text: np.ndarray, at: np.ndarray, off: np.ndarray, w: int, k: int) -> None:
+        target = self.codes[k : k + 1, : len(self.landmarks[k])]
+        for c in range(0, len(at), 8_000):
+            rows_, start = at[c : c + 8_000], off[c : c + 8_000]
+            windows = np.take_along_axis(text[rows_], start[:, None] + np.arange(w)[None, :], axis=1)
+            distinct, back = np.unique(windows, axis=0, return_inverse=True)
+            both = kernel(distinct, np.repeat(target, len(distinct), axis=0))
+            own = np.sqrt(kernel(distinct, distinct))
+            value = (both / np.maximum(own * self.own[k], 1e-12))[back.ravel()]
+            for r, v in zip(rows_.tolist(), value.tolist(), strict=True):
+                if v >= LEAST:
+                    u = names[r][0]
+                    row = self[u]
+                    if row is None:
+                        row = self[u] = np.zeros(len(self.landmarks))
+                    if v > row[k]:
+                        row[k] = v
 
     def of_sentences(self, sentences: list[list[str]]) -> np.ndarray:
         """The kernel row of each sentence's unit that is most like a landmark."""
@@ -156,20 +184,46 @@ class Machine(dict):
         return out
 
 
+def substrings(unit: str) -> set[str]:
+    whole = marked(unit)
+    return {whole[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(whole) - n + 1)}
+
+
 def choose_landmarks(samples: list[tuple[int, str, int]]) -> list[str]:
-    """Words whose document counts differ most between toxic and clean rows (log odds times its certainty)."""
-    seen = {0: Counter(), 1: Counter()}
-    n = Counter(s[2] for s in samples)
+    """Pieces of words that together cover the toxic rows and hardly occur in clean ones.
+
+    Candidates are substrings (with end marks) of words that only toxic rows have. One after another, the
+    one is taken that covers most toxic rows (rows count half for each landmark that they have), less what it
+    would cost in clean rows.
+    """
+    clean: Counter = Counter()
     for _, text, label in samples:
-        seen[label].update({u for u in units(text) if 3 <= len(u) <= 16})
-    score = {}
-    for w, a in seen[1].items():
-        b = seen[0][w]
-        if a >= 3:
-            p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
-            score[w] = a / n[1] * math.log(p / q)
-    ranked = sorted((w for w in score if score[w] > 0), key=lambda w: (-score[w], w))
-    return ranked[:LANDMARKS]
+        if label == 0:
+            clean.update(set(units(text)))
+    toxic = [{u for u in units(text) if 3 <= len(u) <= 30 and u not in clean} for _, text, label in samples if label == 1]
+    covers: dict[str, set[int]] = {}
+    for i, us in enumerate(toxic):
+        for u in us:
+            for x in substrings(u):
+                covers.setdefault(x, set()).add(i)
+    covers = {x: c for x, c in covers.items() if len(c) >= 3}
+    against: Counter = Counter()
+    for u, n in clean.items():
+        for x in substrings(u):
+            if x in covers:
+                against[x] += n
+    share = max(1, len(samples) - len(toxic)) / max(1, len(toxic))
+    times, chosen = Counter(), []
+    pool = sorted(covers, key=lambda x: (-(len(covers[x]) - 3 * against[x] / share), -len(x), x))[:3000]
+    while pool and len(chosen) < LANDMARKS:
+        gain = lambda x: sum(2.0 ** -times[i] if times[i] < 4 else 0.0 for i in covers[x]) - 3 * against[x] / share
+        best = max(pool, key=lambda x: (gain(x), len(x), x))
+        if gain(best) < 1.5:
+            break
+        chosen.append(best)
+        times.update(covers[best])
+        pool.remove(best)
+    return chosen
 
 
 def disguises(word: str, rng: np.random.Generator) -> list[str]:
@@ -204,7 +258,7 @@ def fit(samples: list[tuple[int, str, int]], share: float, seed: int = 7) -> Mod
     train, tune = [samples[i] for i in order[cut:]], [samples[i] for i in order[:cut]]
     landmarks = choose_landmarks(train)
     if not landmarks:
-        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 1.0, 0.0)
+        return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), math.log(max(share, 1e-6) / max(1 - share, 1e-6)), np.array([1.0] + [0.0] * (WORST - 1)), 0.0)
     machine = Machine(landmarks)
     gram = kernel(np.repeat(machine.codes, len(landmarks), axis=0), np.tile(machine.codes, (len(landmarks), 1))).reshape(len(landmarks), -1) / np.outer(machine.own, machine.own)
     values, vectors = np.linalg.eigh(gram)
@@ -224,8 +278,12 @@ def fit(samples: list[tuple[int, str, int]], share: float, seed: int = 7) -> Mod
     top = rows_.max(axis=1)
     # Clean sentences: the ones unlike every landmark are all alike; a few stand for them.
     clean = np.flatnonzero((label == 0) & (top > 0))
-    clean = np.concatenate([rng.permutation(clean)[:6000], np.flatnonzero((label == 0) & (top == 0))[:200]])
-    extra = machine.of_sentences([[d] for w in landmarks for d in disguises(w, rng)])
+    clean = clean[np.argsort(-top[clean], kind="stable")]
+    clean = np.concatenate([clean[:4000], rng.permutation(clean[4000:])[:2000], np.flatnonzero((label == 0) & (top == 0))[:200]])
+    # The words that hold a landmark, disguised.
+    held = sorted({u for _, text, label in train if label for u in units(text) if 4 <= len(u) <= 14 and any(x in marked(u) for x in landmarks)})
+    held = [held[i] for i in rng.permutation(len(held))[:200]]
+    extra = machine.of_sentences([[d] for w in held for d in disguises(w, rng)])
     toxic_at = [np.flatnonzero(owner == i) for i in range(len(train)) if train[i][2] == 1]
     margin = top
     for _ in range(3):
@@ -235,16 +293,24 @@ def fit(samples: list[tuple[int, str, int]], share: float, seed: int = 7) -> Mod
         y = np.concatenate([-np.ones(len(clean)), np.ones(len(x) - len(clean))])
         weights, bias = train_svm(x, y, np.where(y > 0, len(clean) / max(1, len(y) - len(clean)), 1.0).clip(0.2, 5))
         margin = rows_ @ root @ weights + bias
-    rows_, owner = docs_of(tune)
-    margin = rows_ @ root @ weights + bias
-    doc = np.full(len(tune), bias)
-    np.maximum.at(doc, owner, margin)
+    model = Model(landmarks, machine.own, root, weights, bias, np.zeros(WORST), 0.0)
+    z = Scorer(model).margins([s[1] for s in tune])
     y = np.array([s[2] for s in tune])
     w = np.where(y > 0, share / max(1e-6, y.mean()), (1 - share) / max(1e-6, 1 - y.mean()))
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    loss = lambda a: float(-(w * (y * np.log(sig(a[0] * doc + a[1]) + 1e-9) + (1 - y) * np.log(1 - sig(a[0] * doc + a[1]) + 1e-9))).mean())
-    slope, offset = min(((a, b) for a in np.geomspace(0.3, 12, 25) for b in np.linspace(-5, 5, 41)), key=loss)
-    return Model(landmarks, machine.own, root, weights, bias, float(slope), float(offset))
+    model.slopes, model.offset = logistic(z, y, w / w.sum())
+    return model
+
+
+def logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weighted logistic fit by Newton steps; slopes are not negative (a worse sentence never lowers a score)."""
+    x, a = np.hstack([z, np.ones((len(z), 1))]), np.zeros(z.shape[1] + 1)
+    ridge = np.diag([penalty] * z.shape[1] + [1e-6])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (p - y)) + ridge @ a)
+        a = a - np.clip(step, -2, 2)
+        a[:-1] = np.maximum(a[:-1], 0)
+    return a[:-1], float(a[-1])
 
 
 class Scorer(dict):
@@ -256,10 +322,11 @@ class Scorer(dict):
         self.machine = Machine(model.landmarks, model.own) if model.landmarks else None
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
+        """The margins of the WORST worst distinct units of each text."""
         m = self.model
         found = [units(t) if t else [] for t in texts]
         if self.machine is None:
-            return np.full(len(texts), m.bias)
+            return np.full((len(texts), WORST), m.bias)
         new = {u for f in found for u in f if u not in self}
         if len(self) + len(new) > REMEMBERED:
             self.clear()
@@ -270,10 +337,11 @@ class Scorer(dict):
         self.update(dict.fromkeys(new, m.bias))
         if hits:
             self.update(zip(hits, (np.stack([self.machine[u] for u in hits]) @ m.root @ m.weights + m.bias).tolist(), strict=True))
-        return np.array([max(m.bias, max(map(self.__getitem__, f), default=m.bias)) for f in found])
+        worst = [sorted((x for u in set(f) if (x := self[u]) > m.bias), reverse=True)[:WORST] for f in found]
+        return np.array([w + [m.bias] * (WORST - len(w)) for w in worst])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = self.model.slope * self.margins(texts) + self.model.offset
+        z = self.margins(texts) @ self.model.slopes + self.model.offset
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
