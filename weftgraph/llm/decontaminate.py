@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, rows
-from .wordhash import shingle_hashes, shingle_set, word_hashes, words
+from .wordhash import shingle_hashes, shingle_sets, words_of
 
 THRESHOLD, K = 0.75, 5
 #: Shingles of all items up to which they are broadcast (16 bytes each: 64 MB).
@@ -76,7 +76,7 @@ class Index:
 
 def _item_sets(batches):
     for ids, texts in rows(batches, "item_id", "text"):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["item_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["item_id", "shingles"])
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -91,7 +91,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     def run(batches):
         find = Index(index.value, threshold)
         for ids, texts in rows(batches, "doc_id", "text"):
-            out = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in find.search(shingle_hashes(word_hashes(words(t)), K))]
+            out = [(i, *m) for i, w in zip(ids, words_of(texts), strict=True) for m in find.search(shingle_hashes(w.hashes, K))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64()), pa.array([o[2] / o[3] for o in out], pa.float64())],
                 names=["doc_id", "item_id", "n_found", "n_item", "containment"],
@@ -113,7 +113,7 @@ def _contained_by_join(docs: DataFrame, items: DataFrame, threshold: float) -> D
 
     def doc_sets(batches):
         for ids, texts in rows(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_set(t).astype(np.int64) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], names=["doc_id", "h"])
 
     sk = materialize(map_arrow(items, sketches, "item_id long, n_item long, needed long, sketch array<long>, whole array<long>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     hashed = map_arrow(docs, doc_sets, "doc_id long, h array<long>")

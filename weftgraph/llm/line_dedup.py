@@ -4,57 +4,48 @@
    that ends a sentence, and after every word whose own hash says so (one in SPLIT). The ends depend on
    the word alone, so a passage inside a paragraph falls into the same lines wherever it stands.
 2. Winnowing. The hashes of GRAM consecutive lines are the items; of every WINDOW neighbouring items the
-   smallest (the rightmost on ties) is a fingerprint. Any repeated run of GRAM + WINDOW - 1 lines has one.
-3. Positions. Fingerprints are grouped (pre-aggregated per task): each later occurrence meets the first
-   one (least doc_id, then position), never each other, so a passage in n documents gives n - 1 matches.
-4. Extension. Every match is extended both ways over the lines of the two documents until they differ.
-5. Runs of LEAST_WORDS words or more are deleted where they occur later.
+   smallest (the rightmost on ties) is a fingerprint. Any repeated run of GRAM + WINDOW - 1 lines has one,
+   and neighbouring fingerprints are at most WINDOW lines apart.
+3. Positions. Fingerprints are counted (pre-aggregated in each task) and those of one place only dropped.
+   Each other occurrence meets the first one (least doc_id, then position) and never the others, so a
+   passage in n documents gives n - 1 matches.
+4. Extension. A fingerprint carries the lines next to it, WINDOW on each side, as 12-bit hashes. A match
+   is extended both ways line by line while they agree; as the next fingerprint of a run is never further
+   away, the extended matches of a run join into the whole run.
+5. Joined runs of LEAST_WORDS words or more are deleted where they occur later.
 
 Defined results: a null text stays null and an empty one empty; texts are otherwise changed only by the
 deletion of whole runs with the white space after them; a document that repeats others entirely keeps its
-row, with the empty text; rows of one doc_id are read as one document in no stated order, so ids should
-be unique; null ids keep their texts; extra columns are kept; an empty table gives an empty result.
+row, with what is left of its text; rows of one doc_id are read as one document in no stated order, so ids
+should be unique; null ids keep their texts; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, rows, sha256_hex
-from .wordhash import mix, powers, word_hashes
-
-SPLIT, GRAM, WINDOW, LEAST_WORDS = 5, 3, 4, 30
-#: Stands for a line feed; this byte never occurs in UTF-8.
-BREAK = b"\xff"
-_SPLIT = np.uint64(SPLIT)
+from .common import map_arrow, materialize, rows
+from .wordhash import Words, mix, powers, words_of
 
+SPLIT, GRAM, WINDOW, LEAST_WORDS = 5, 2, 5, 30
+STOPS = np.zeros(256, bool)
+STOPS[list(b".!?")] = True
+_NEAR = np.uint64(0xFFF)
 
-def _words(text: str) -> list[bytes]:
-    """Words, and BREAK for every line feed."""
-    return text.encode("utf-8", "replace").lower().replace(b"\n", b" " + BREAK + b" ").split()
 
-
-def lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of words of every line of a text, in order."""
-    found = _words(text) if text else []
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = word_hashes(found)
-    feed = np.fromiter((w == BREAK for w in found), bool, len(found))
-    stop = np.fromiter((w[-1] in b".!?" for w in found), bool, len(found))
-    ends = stop | ((h >> np.uint64(7)) % _SPLIT == 0)
-    ends[:-1] |= feed[1:]
-    ends, h = ends[~feed], h[~feed]
+    h = words.hashes
     if not len(h):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return h, np.empty(0, np.int64)
+    ends = STOPS[words.last] | words.feed | ((h >> np.uint64(7)) % np.uint64(SPLIT) == 0)
     ends[-1] = True
-    starts = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-    counts = np.diff(np.concatenate([starts, [len(h)]]))
+    stop = np.flatnonzero(ends) + 1
+    starts = np.concatenate([[0], stop[:-1]])
+    counts = stop - starts
     place = np.arange(len(h)) - np.repeat(starts, counts)
     return mix(np.add.reduceat(h * powers(1024)[place % 1024], starts) + counts.astype(np.uint64)), counts
 
@@ -64,53 +55,52 @@ def fingerprints(line_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(line_hashes) - GRAM + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    items = sum((line_hashes[j : n + j] * powers(GRAM)[j] for j in range(1, GRAM)), line_hashes[:n] * powers(GRAM)[0])
+    items = line_hashes[:n] * powers(GRAM)[0]
+    for j in range(1, GRAM):
+        items = items + line_hashes[j : n + j] * powers(GRAM)[j]
     items = mix(items)
     width = min(WINDOW, n)
-    windows = np.lib.stride_tricks.sliding_window_view(items, width)
-    at = np.unique(np.arange(len(windows)) + width - 1 - windows[:, ::-1].argmin(axis=1))
+    m = n - width + 1
+    best, at = items[:m], np.arange(m)
+    for j in range(1, width):
+        lower = items[j : j + m] <= best
+        best, at = np.where(lower, items[j : j + m], best), np.where(lower, np.arange(j, j + m), at)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return items[at], at
 
 
-def _line_table(batches):
+def neighbours(line_hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The WINDOW lines before and after each fingerprint, 12 bits each (0: none), nearest in the lowest bits."""
+    small = np.maximum(line_hashes & _NEAR, np.uint64(1))
+    padded = np.concatenate([np.zeros(WINDOW, np.uint64), small, np.zeros(WINDOW, np.uint64)])
+    before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(WINDOW):
+        before |= padded[WINDOW + at - 1 - k] << np.uint64(12 * k)
+        after |= padded[WINDOW + at + GRAM + k] << np.uint64(12 * k)
+    return before.astype(np.int64), after.astype(np.int64)
+
+
+def _marks(batches):
     for ids, texts in rows(batches, "doc_id", "text"):
         made = []
-        for i, t in zip(ids, texts, strict=True):
-            h, c = lines(t)
+        for i, w in zip(ids, words_of(texts), strict=True):
+            h, c = lines(w)
             f, at = fingerprints(h)
-            made.append((i, h.tobytes(), np.minimum(c, 65535).astype(np.uint16).tobytes(), f.astype(np.int64), at.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.binary()), pa.array([m[3] for m in made], pa.list_(pa.int64())), pa.array([m[4] for m in made], pa.list_(pa.int32()))],
-            names=["doc_id", "lines", "counts", "fp", "at"],
-        )
-
-
-def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The run around a[i] == b[j], as a range of a."""
-    back = min(i, j)
-    differs = np.flatnonzero(a[i - back : i][::-1] != b[j - back : j][::-1])
-    lo = i - (int(differs[0]) if len(differs) else back)
-    ahead = min(len(a) - i, len(b) - j)
-    differs = np.flatnonzero(a[i : i + ahead] != b[j : j + ahead])
-    return lo, i + (int(differs[0]) if len(differs) else ahead)
-
-
-def runs(a: np.ndarray, counts: np.ndarray, matches: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int]]:
-    """Ranges of lines of a document that repeat an earlier place. matches: (position here, lines there, position there)."""
-    out = []
-    done: dict[int, int] = {}
-    for at, b, there in sorted(matches, key=lambda m: (m[0], m[2])):
-        lane = (at - there, id(b))
-        if at < done.get(lane, -1):
-            continue
-        lo, hi = _extend(a, b, at, there)
-        done[lane] = hi
-        if int(counts[lo:hi].sum()) >= LEAST_WORDS:
-            out.append((lo, hi))
+            made.append((i, np.minimum(c, 65535).astype(np.uint16).tobytes(), f.astype(np.int64), at.astype(np.int32), *neighbours(h, at)))
+        lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(m[2]) for m in made])]).astype(np.int32), pa.array(np.concatenate([m[k] for m in made]) if made else [], t)) for k, t in ((2, pa.int64()), (3, pa.int32()), (4, pa.int64()), (5, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary()), *lists], names=["doc_id", "counts", "fp", "at", "before", "after"])
+
+
+def _agreeing(a: str, b: str):
+    """How many of the neighbouring lines agree, from the nearest on."""
+    lane = lambda c, k: F.shiftrightunsigned(F.col(c), 12 * k).bitwiseAND(0xFFF)
+    out = F.lit(WINDOW)
+    for k in reversed(range(WINDOW)):
+        out = F.when((lane(a, k) == 0) | (lane(a, k) != lane(b, k)), F.lit(k)).otherwise(out)
     return out
 
 
-def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merge(ranges) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
@@ -120,86 +110,74 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _runs_of(batches):
-    """Rows: doc_id, its lines and counts, and of one earlier document the lines, with the places that match."""
-    for ids, own, counts, other, at, first in rows(batches, "doc_id", "lines", "counts", "other", "at", "first"):
+def _long_runs(batches):
+    """Word ranges of the joined line ranges that are long enough."""
+    for ids, counts, lo, hi in rows(batches, "doc_id", "counts", "lo", "hi"):
         out = []
-        for i, a, c, b, p, q in zip(ids, own, counts, other, at, first, strict=True):
-            a, b, c = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint16).astype(np.int64)
-            found = merge(runs(a, c, [(x, b, y) for x, y in zip(p, q, strict=True)]))
-            out.append((i, [x for x, _ in found], [y for _, y in found]))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["doc_id", "lo", "hi"])
+        for i, c, a, b in zip(ids, counts, lo, hi, strict=True):
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(c, np.uint16).astype(np.int64))])
+            found = [(int(at[x]), int(at[y])) for x, y in merge(zip(a, b, strict=True)) if at[y] - at[x] >= LEAST_WORDS]
+            if found:
+                out.append((i, [x for x, _ in found], [y for _, y in found], int(at[-1])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.int64())], names=["doc_id", "lo", "hi", "n_words"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, spans array<struct<lo, hi>>: the line ranges to delete, of the documents that have any."""
+    """doc_id, lo, hi (arrays: the word ranges to delete), n_words of the documents that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    table = materialize(map_arrow(docs, _line_table, "doc_id long, lines binary, counts binary, fp array<long>, at array<int>"), "lines")
-    marks = table.select("doc_id", F.explode(F.arrays_zip("fp", "at")).alias("x")).select("doc_id", F.col("x.fp").alias("fp"), F.col("x.at").alias("at"))
-    first = marks.groupBy("fp").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.select("fp", F.col("first.doc_id").alias("there"), F.col("first.at").alias("first")), "first")
-    later = marks.join(first, "fp").where("doc_id <> there or at <> first")
-    # The fingerprints of one document are bounded by its length, and with one other document still more.
-    pairs = materialize(later.groupBy("doc_id", "there").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first")), "pairs")
-    own = table.select("doc_id", "lines", "counts")
-    other = table.select(F.col("doc_id").alias("there"), F.col("lines").alias("other"))
-    spans = map_arrow(pairs.join(own, "doc_id").join(other, "there"), _runs_of, "doc_id long, lo array<int>, hi array<int>")
-    return materialize(spans.where(F.size("lo") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list(F.arrays_zip("lo", "hi"))).alias("spans")), "spans")
-
-
-def delete_runs(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """A text without the given ranges of its lines."""
-    if not text or not spans:
+    table = materialize(map_arrow(docs, _marks, "doc_id long, counts binary, fp array<long>, at array<int>, before array<long>, after array<long>"), "marks")
+    seen = table.select("doc_id", F.explode("fp").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("there")).where("n > 1").select("fp", "there")
+    zipped = table.select("doc_id", F.explode(F.arrays_zip("fp", "at", "before", "after")).alias("x")).select("doc_id", "x.fp", "x.at", "x.before", "x.after")
+    shared = materialize(zipped.join(seen, "fp"), "shared")
+    own = shared.where("doc_id = there")
+    first = own.groupBy("fp").agg(F.min(F.struct("at", F.col("before").alias("b"), F.col("after").alias("a"))).alias("x")).select("fp", F.col("x.at").alias("first"), "x.b", "x.a")
+    first = materialize(first, "first")
+    later = shared.join(first, "fp").where("doc_id <> there or at <> first")
+    ranges = later.select("doc_id", (F.col("at") - _agreeing("before", "b")).alias("lo"), (F.col("at") + GRAM + _agreeing("after", "a")).alias("hi"))
+    # The fingerprints of a document are bounded by its length.
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    counted = by_doc.join(table.select("doc_id", "counts"), "doc_id")
+    return materialize(map_arrow(counted, _long_runs, "doc_id long, lo array<long>, hi array<long>, n_words long"), "runs")
+
+
+def delete_runs(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
+    """A text without the given ranges of its words, each with the white space after it."""
+    if not text or not ranges:
         return text
-    _, counts = lines(text)
-    ends = np.cumsum(counts)
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8)
     white = (b == 32) | ((b >= 9) & (b <= 13))
-    starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+    starts = np.append(np.flatnonzero(~white & np.concatenate([[True], white[:-1]])), len(raw))
     keep, at = [], 0
-    for lo, hi in merge(spans):
-        begin = int(starts[ends[lo - 1]]) if lo else int(starts[0])
-        stop = int(starts[ends[hi - 1]]) if ends[hi - 1] < len(starts) else len(raw)
-        keep.append(raw[at:begin])
-        at = stop
+    for lo, hi in merge(ranges):
+        keep.append(raw[at : starts[lo]])
+        at = int(starts[hi])
     return b"".join([*keep, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _cut(spans) -> list[tuple[int, int]]:
-    return [(s["lo"], s["hi"]) for s in spans] if spans else []
-
-
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without later repeated runs (n_chars, where there is one, follows the text)."""
-    spans = repeated_runs(docs)
-    joined = docs.join(spans, "doc_id", "left")
+    runs = repeated_runs(docs).select("doc_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    joined = docs.join(runs, "doc_id", "left")
     columns, names = joined.columns, docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = [delete_runs(t, _cut(s)) for t, s in zip(batch.column(columns.index("text")).to_pylist(), batch.column(columns.index("spans")).to_pylist(), strict=True)]
-            new = {"text": pa.array(texts, pa.string())}
+            texts, lo, hi = (batch.column(columns.index(c)).to_pylist() for c in ("text", "_lo", "_hi"))
+            cut = [delete_runs(t, list(zip(a, b, strict=True))) if a else t for t, a, b in zip(texts, lo, hi, strict=True)]
+            new = {"text": pa.array(cut, pa.string())}
             if "n_chars" in names:
-                new["n_chars"] = pa.array([o if t == u else len(t) for t, u, o in zip(texts, batch.column(columns.index("text")).to_pylist(), batch.column(columns.index("n_chars")).to_pylist(), strict=True)], batch.schema.field("n_chars").type)
+                old = batch.column(columns.index("n_chars"))
+                new["n_chars"] = pa.array([len(c) if a else n for c, a, n in zip(cut, lo, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(columns.index(n)) for n in names], names=names)
 
     return map_arrow(joined, run, docs.schema)
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_deleted, n_words_deleted, n_chars and text_sha256 of what is left of every document."""
-    spans = repeated_runs(docs)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
-
-    def run(batches):
-        for ids, texts, found in rows(batches, "doc_id", "text", "spans"):
-            out = []
-            for i, t, s in zip(ids, texts, found, strict=True):
-                cut = merge(_cut(s))
-                counts = lines(t)[1] if cut else None
-                left = delete_runs(t, cut) or ""
-                out.append((i, len(cut), sum(hi - lo for lo, hi in cut), int(sum(counts[lo:hi].sum() for lo, hi in cut)), len(left), sha256_hex(left.encode("utf-8", "replace"))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)] + [pa.array([o[5] for o in out], pa.string())], names=["doc_id", "n_runs", "n_lines_deleted", "n_words_deleted", "n_chars_left", "text_sha256"])
-
-    return map_arrow(joined, run, "doc_id long, n_runs long, n_lines_deleted long, n_words_deleted long, n_chars_left long, text_sha256 string")
+    """doc_id, n_runs, n_words_deleted, first_words and end_words (the word ranges that go) of every document."""
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(repeated_runs(docs).select("doc_id", "lo", "hi"), "doc_id", "left")
+    none = F.array().cast("array<long>")
+    lo, hi = F.coalesce("lo", none), F.coalesce("hi", none)
+    deleted = F.aggregate(F.zip_with(lo, hi, lambda a, b: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return joined.select("doc_id", F.size(lo).cast("long").alias("n_runs"), deleted.alias("n_words_deleted"), lo.alias("first_words"), hi.alias("end_words"))

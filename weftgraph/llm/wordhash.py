@@ -1,47 +1,45 @@
 """Word and shingle hashes as numpy arrays.
 
 Words are the runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
-return, after A-Z are lowered. UTF-8 keeps those bytes apart from all others, so ``bytes.lower`` and
-``bytes.split`` give exactly these words.
+return, after A-Z are lowered; UTF-8 keeps those bytes apart from all others. A word's hash is a
+polynomial over random numbers of its bytes, modulo 2**64, read off one running sum over the text: no
+object is made for a word. Texts are hashed in groups of about GROUP bytes, and longer texts in pieces that
+end at white space, so memory does not follow the length of a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
 
-#: Distinct words that one worker remembers the hashes of.
-REMEMBERED = 500_000
-#: Odd multipliers that tell the places of a shingle apart (powers of the 64-bit golden ratio).
-GOLDEN = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at a time.
+GROUP = 1 << 19
+#: Odd multipliers that tell places apart, and the inverse of the one for bytes modulo 2**64.
+GOLDEN, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+STEP_BACK = pow(STEP, -1, 1 << 64)
+BYTES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_hashes = WordHashes()
+@lru_cache(maxsize=64)
+def powers(n: int) -> np.ndarray:
+    return np.array([pow(GOLDEN, i + 1, 1 << 64) for i in range(n)], np.uint64)
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+_forward, _back = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-
-
-@lru_cache(maxsize=64)
-def powers(n: int) -> np.ndarray:
-    return np.array([pow(GOLDEN, i + 1, 1 << 64) for i in range(n)], np.uint64)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and STEP ** -i for i < n."""
+    global _forward, _back
+    while len(_forward) < n:
+        k = len(_forward)
+        _forward = np.concatenate([_forward, _forward * np.uint64(pow(STEP, k, 1 << 64))])
+        _back = np.concatenate([_back, _back * np.uint64(pow(STEP_BACK, k, 1 << 64))])
+    return _forward[:n], _back[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +51,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Words:
+    """The words of one text: their hashes, last bytes, and whether a line feed follows."""
+
+    __slots__ = ("feed", "hashes", "last")
+
+    def __init__(self, hashes: np.ndarray, last: np.ndarray, feed: np.ndarray):
+        self.hashes, self.last, self.feed = hashes, last, feed
+
+
+def _hash(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash, last byte of the words of a piece, and whether a line feed follows (within the piece)."""
+    b = np.frombuffer(raw, np.uint8)
+    word = ~WHITE[b]
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    forward, back = _places(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * forward[:-1], out=total[1:])
+    hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    feeds = np.flatnonzero(b == 10)
+    after = np.searchsorted(feeds, end)
+    next_start = np.append(start[1:], len(b))
+    feed = np.zeros(len(start), bool)
+    there = after < len(feeds)
+    feed[there] = feeds[after[there]] < next_start[there]
+    return start, hashes, b[end - 1] if len(end) else np.empty(0, np.uint8), feed
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end at white space."""
+    at = 0
+    while len(raw) - at > GROUP:
+        cut = at + GROUP
+        while cut < len(raw) and not WHITE[raw[cut]]:
+            cut += 1
+        yield raw[at : cut + 1]
+        at = cut + 1
+    yield raw[at:]
+
+
+def _long(raw: bytes) -> Words:
+    parts = [_hash(p) for p in _pieces(raw)]
+    return Words(*(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)))
+
+
+def words_of(texts: Sequence[str | None]) -> Iterator[Words]:
+    """The words of each text, in order."""
+    group: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = t.encode("utf-8", "replace").lower() if t else b""
+        if group and size + len(raw) > GROUP:
+            yield from _group(group)
+            group, size = [], 0
+        if len(raw) > GROUP:
+            yield _long(raw)
+        else:
+            group.append(raw)
+            size += len(raw) + 1
+    if group:
+        yield from _group(group)
+
+
+def _group(group: list[bytes]) -> Iterator[Words]:
+    start, hashes, last, feed = _hash(b" ".join(group))
+    ends = np.cumsum([len(g) + 1 for g in group])
+    cuts = np.searchsorted(start, ends)
+    lo = 0
+    for hi in cuts.tolist():
+        yield Words(hashes[lo:hi], last[lo:hi], feed[lo:hi])
+        lo = hi
+
+
 def shingle_hashes(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Hashes of the k-word shingles in text order; a shorter sequence is one shingle, an empty one none."""
     n = len(hashes)
@@ -66,6 +137,11 @@ def shingle_hashes(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(total + np.uint64(k))
 
 
+def shingle_sets(texts: Sequence[str | None], k: int = 5) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each whole text."""
+    for w in words_of(texts):
+        yield np.unique(shingle_hashes(w.hashes, k))
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingle_hashes(word_hashes(words(text)), k))
+    return next(shingle_sets([text], k))
