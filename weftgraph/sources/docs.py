@@ -29,7 +29,7 @@ def list_files(spark: SparkSession, folder: str, extension: str, max_files: int
 
 def read_documents(spark: SparkSession, folder: str, extension: str, max_files: int = 0) -> DataFrame:
     """graph_id, line_no (from 0, in the order of the file), tokens."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     if max_files:
         texts = texts.join(F.broadcast(texts.select("path").distinct().orderBy("path").limit(max_files)), "path", "left_semi")
     lines = texts.select(F.regexp_extract("path", r"([0-9]+)\.[^/]*$", 1).cast("bigint").alias("graph_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))

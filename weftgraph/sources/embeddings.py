@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """name, vector."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<float>>")).alias("name", "vector"))
 
 

@@ -13,7 +13,7 @@ from .labels import read_class_labels
 
 
 def _files(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gexf").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gexf").text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value")
     if max_files:
         files = files.join(F.broadcast(files.select("path").distinct().orderBy("path").limit(max_files)), "path", "left_semi")
@@ -27,7 +27,9 @@ def read_gexf(spark: SparkSession, folder: str, label: str = "Label", labels_fil
     these are whole numbers, else their places.
     """
     files = _files(spark, folder, max_files)
-    for_id = F.xpath_string("value", F.lit(f"//*[local-name()='attributes'][@class='node']/*[local-name()='attribute'][@title='{label}']/@id"))
+    declared = F.array_join(F.regexp_extract_all("value", F.lit(r"(?s)<attributes\b[^>]*\bclass=\"node\"[^>]*>.*?</attributes>"), F.lit(0)), "")
+    titled = F.filter(F.regexp_extract_all(declared, F.lit(r"<attribute\b[^>]*>"), F.lit(0)), lambda a: F.regexp_extract(a, r'\btitle="([^"]*)"', 1) == F.lit(label))
+    for_id = F.regexp_extract(F.get(titled, F.lit(0)), r'\bid="([^"]*)"', 1)
     # One path for the attribute of all nodes would lose the nodes without it, so nodes are read piece by piece.
     pieces = F.regexp_extract_all("value", F.lit(r"(?s)<node\b[^>]*?(?:/>|>.*?</node>)"), F.lit(0))
     parts = files.select("graph_id", for_id.alias("attr"), F.posexplode(pieces).alias("place", "piece"))
