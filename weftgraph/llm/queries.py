@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, warc
+from . import exact_dedup, shingle_sql, warc
 from .common import table
 
 
@@ -77,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_extract, op2_token_counts, op3_exact_dedup, op4_quality, op5_warc, op6_bpe, op7_toxicity, op8_line_dedup, op9_decontaminate, op10_jaccard_join)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
+    "op9_decontaminate": shingle_sql.CONTAMINATION,
+    "op10_jaccard_join": shingle_sql.COMPONENTS,
+}
