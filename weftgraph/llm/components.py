@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize, rows
+
+#: Edges that one task may hold.
+ONE_TASK = 1_000_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,12 +27,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _forest(batches):
+    """Components of all edges of a task, by union and find."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        up.setdefault(i, i)
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for us, vs in rows(batches, "u", "v"):
+        for u, v in zip(us, vs, strict=True):
+            a, b = find(u), find(v)
+            up[max(a, b)] = min(a, b)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id, component (its least id) of every node that has an edge. ``edges``: u long, v long, no nulls.
 
+    At most ONE_TASK edges (32 MB, counted first) are one task's union and find; more go round by round.
     Each round is written to the shared folder; it ends when a round changes nothing. Only counts and
     sums come to the driver.
     """
+    if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return materialize(map_arrow(edges.select("u", "v").coalesce(1), _forest, "id long, component long"), "components")
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).alias("x")
     before = edges.select(size).first()["x"]

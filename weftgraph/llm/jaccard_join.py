@@ -8,14 +8,16 @@ Documents are sets of distinct five-word shingles; two link when 100 * intersect
    cell. The keys only decide which sets meet: a linked pair shares none with probability at most
    (1 - 0.75**ROWS) ** BANDS, 2.5e-7 at exactly 0.75 and far less above it. Cells with one member end
    here, cells with the same members are kept once.
+   Cells come in two waves: the first FIRST keys connect nearly all near copies, and of the cells of the
+   other keys only those are looked at whose members do not lie in one component by then.
 3. Signature trees. The members of a cell are ordered by size and dealt into blocks; each block is a
    tree whose nodes hold the OR of their members' token bitmaps, the size range and the largest number
    of tokens that share bits. Two nodes are traversed together and dropped when the largest possible
    overlap, or the size ranges, cannot reach the threshold. Pairs of leaves are verified on the exact
    sets. Pairs that earlier links of the same task already connect are skipped, so a group of n copies
    yields n - 1 links, not n**2 / 2.
-4. Blocks of one cell meet pairwise, again by their roots first; block pairs that already lie in one
-   component are not compared.
+4. Blocks of one cell: the components found in them go up a level, one member each; then blocks meet
+   pairwise where they do not lie in one component yet and their size ranges allow it.
 5. Components of the links by alternating stars.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component;
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, rows
 from .components import components
-from .wordhash import mix, shingle_set
+from .wordhash import mix, shingle_sets
 
 BANDS, ROWS = 40, 4
 #: Members of a block: what one task holds of a cell at once is two blocks.
 BLOCK = 256
 FANOUT = 8
+#: Bands of the first wave; the others only look at cells that it has left unconnected.
+FIRST = 4
 #: Ids of at most so many sets are broadcast (16 MB); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -50,9 +54,9 @@ _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """BANDS 64-bit keys of a non-empty set."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.empty(BANDS * ROWS, np.uint32)
-    for i in range(BANDS * ROWS):
-        least[i] = ((low ^ _ADD[i]) * _MUL[i]).min()
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(low), 512):
+        np.minimum(least, ((low[k : k + 512, None] ^ _ADD) * _MUL).min(axis=0), out=least)
     grouped = least.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
@@ -71,8 +75,7 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
 def _sketches(batches):
     for ids, texts in rows(batches, "doc_id", "text"):
         out = []
-        for i, t in zip(ids, texts, strict=True):
-            s = shingle_set(t)
+        for i, s in zip(ids, shingle_sets(texts), strict=True):
             out.append((i, len(s), *set_digest(s), band_keys(s) if len(s) else []))
         yield pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64()), pa.array([o[4] for o in out], pa.list_(pa.int64()))],
@@ -82,7 +85,7 @@ def _sketches(batches):
 
 def _sets(batches):
     for ids, texts in rows(batches, "doc_id", "text"):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["rep", "shingles"])
 
 
 class Tree:
@@ -192,49 +195,96 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sketch = materialize(map_arrow(docs, _sketches, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketch")
     classes = materialize(sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    sets, links = None, None
+    for wave in (F.slice("keys", 1, FIRST), F.slice("keys", FIRST + 1, BANDS)):
+        comp = components(links) if links is not None else None
+        members = _cells(classes.select("rep", F.col("n_shingles").alias("size"), wave.alias("keys")), comp)
+        sets = _with_sets(sets, docs, members)
+        links = _link_cells(members, sets, links)
+    named = classes.join(components(links), F.col("rep") == F.col("id"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    named = materialize(named, "named")
+    out = sketch.drop("keys").join(named, ["d1", "d2", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _cells(classes: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """cell, rep, size, n (members) of the cells that may still connect something; cells with the same members once."""
+    if comp is None:
+        labelled = classes.withColumn("comp", F.col("rep"))
+    else:
+        labelled = classes.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "size", "keys", F.coalesce("component", "rep").alias("comp"))
+    labelled = materialize(labelled, "labelled")
+    members = labelled.select("rep", "size", "comp", F.explode("keys").alias("cell"))
+    cells = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s")).where("c1 <> c2")
+    cells = materialize(cells.groupBy("n", "least", "s").agg(F.min("cell").alias("cell")).select("cell", "n"), "cells")
+    return materialize(members.join(cells, "cell").select("cell", "rep", "size", "n"), "members")
 
-    # Cells of two members or more; of cells with the same members one.
-    members = classes.select("rep", F.explode("keys").alias("cell"))
-    cells = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s")).where("n > 1")
-    cells = materialize(cells.groupBy("n", "least", "s").agg(F.min("cell").alias("cell")).select("cell", "n", "least"), "cells")
-    members = materialize(members.join(cells, "cell"), "members")
 
-    # The exact sets of their members only.
+def _with_sets(sets: DataFrame | None, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, shingles: the exact sets of all members; those that are there already are not made again."""
     active = members.select(F.col("rep").alias("doc_id")).distinct()
+    if sets is not None:
+        active = active.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     active = materialize(active, "active")
-    small = active.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(active) if small else active, "doc_id", "left_semi")
-    sets = materialize(map_arrow(texts, _sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-
-    # Blocks within a cell: by size, so that the size ranges of blocks part.
-    sized = members.join(sets.select("rep", (F.octet_length("shingles") / 8).cast("long").alias("size")), "rep")
-    split = sized.where(F.col("n") > BLOCK)
-    salted = split.withColumn("block", F.concat_ws("/", F.floor(F.log(4 / 3, F.col("size"))).cast("string"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("string")))
-    blocks = materialize(sized.where(F.col("n") <= BLOCK).withColumn("block", F.lit("")).unionByName(salted), "blocks")
+    few = active.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(active) if few else active, "doc_id", "left_semi")
+    made = materialize(map_arrow(texts, _sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    return made if sets is None else sets.unionByName(made)
+
+
+def _deal(members: DataFrame) -> DataFrame:
+    """Members with their block: cells of more than BLOCK members by size class and a hash; n counts the members of the cell."""
+    part = F.concat_ws("/", F.floor(F.log(4 / 3, F.col("size"))).cast("string"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("string"))
+    return members.withColumn("block", F.when(F.col("n") <= BLOCK, F.lit("")).otherwise(part))
+
+
+def _trees(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     held = blocks.join(sets, "rep").select("cell", "block", "rep", "shingles", F.col("rep").alias("comp"), F.lit(0).alias("side"))
-    links = materialize(held.groupBy("cell", "block").applyInPandas(_block_links, LINKS), "links")
+    return held.groupBy("cell", "block").applyInPandas(_block_links, LINKS)
 
-    if not cells.where(F.col("n") > BLOCK).isEmpty():
-        links = _across(links, blocks.where(F.col("n") > BLOCK), sets)
-    comp = components(links)
-    named = classes.join(comp, classes["rep"] == comp["id"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    named = materialize(named, "named")
-    out = sketch.drop("keys").alias("s").join(named.alias("n"), ["d1", "d2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def _link_cells(members: DataFrame, sets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Links that connect what is connected within the cells, added to ``links``.
+
+    First the trees of all blocks. Large cells then go up a level at a time: one member for each component
+    stands for it, and these are dealt into blocks again, until they fit one block or nothing more joins.
+    What members of different components can still link is left to :func:`_across`.
+    """
+    found = _trees(_deal(members), sets)
+    links = materialize(found if links is None else links.unionByName(found), "links")
+    large = members.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return links
+    level = large
+    while True:
+        named = level.drop("n").join(components(links), F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "rep"))
+        heads = named.groupBy("cell", "comp").agg(F.min(F.struct("rep", "size")).alias("h")).select("cell", "h.rep", "h.size")
+        sizes = heads.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        above = materialize(heads.join(sizes, "cell").select("cell", "rep", "size", "n"), "heads")
+        if above.isEmpty() or 2 * above.count() > level.count():
+            break
+        links = materialize(links.unionByName(_trees(_deal(above), sets)), "links")
+        level = above
+    return _across(links, _deal(large), sets)
 
 
 def _across(links: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the links between different blocks of the large cells that no component holds yet."""
-    comp = components(links)
-    named = materialize(blocks.join(comp, blocks["rep"] == comp["id"], "left").select("cell", "block", "rep", "size", F.coalesce("component", "rep").alias("comp")), "named-blocks")
+    """Add the links between different blocks of the large cells that no component holds yet: pairs of block roots first."""
+    named = materialize(blocks.join(components(links), F.col("rep") == F.col("id"), "left").select("cell", "block", "rep", "size", F.coalesce("component", "rep").alias("comp")), "named-blocks")
     roots = named.groupBy("cell", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("size").alias("s1"), F.max("size").alias("s2"))
     a, b = roots.alias("a"), roots.alias("b")
     one = (F.col("a.c1") == F.col("a.c2")) & (F.col("b.c1") == F.col("b.c2")) & (F.col("a.c1") == F.col("b.c1"))
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") < F.col("b.block")) & (4 * F.col("a.s2") >= 3 * F.col("b.s1")) & (4 * F.col("b.s2") >= 3 * F.col("a.s1")) & ~one)
+    fits = (4 * F.col("a.s2") >= 3 * F.col("b.s1")) & (4 * F.col("b.s2") >= 3 * F.col("a.s1"))
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") < F.col("b.block")) & fits & ~one)
     pairs = materialize(pairs.select(F.col("a.cell").alias("cell"), F.col("a.block").alias("x"), F.col("b.block").alias("y")), "block-pairs")
     if pairs.isEmpty():
         return links
-    side = lambda at, k: pairs.join(named, (pairs["cell"] == named["cell"]) & (pairs[at] == named["block"])).select(pairs["cell"], "x", "y", "rep", "comp", F.lit(k).alias("side"))
+    side = lambda at, k: pairs.join(named.withColumnRenamed("block", at), ["cell", at]).select("cell", "x", "y", "rep", "comp", F.lit(k).alias("side"))
     held = side("x", 0).union(side("y", 1)).join(sets, "rep")
-    more = held.groupBy("cell", "x", "y").applyInPandas(_block_links, LINKS)
-    return materialize(links.unionByName(more), "links")
+    return materialize(links.unionByName(held.groupBy("cell", "x", "y").applyInPandas(_block_links, LINKS)), "links")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that link (directly or not) to one with a smaller doc_id. Null ids stay."""
+    gone = materialize(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
