@@ -48,13 +48,15 @@ REMEMBERED = 400_000
 WORST = 3
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+DOTTED = re.compile(r"(?:\w\W){2,}\w$")
 EDGES = ".,;:!?\"'()[]{}"
 
 
 def units(sentence: str) -> list[str]:
-    """Lowered words without punctuation at their edges; runs of single characters are put together."""
+    """Lowered words without punctuation at their edges; runs of single characters, spaced or dotted, are put together."""
     low = sentence.lower()
     found = [x.strip(EDGES) for x in low.split()]
+    found += [re.sub(r"\W", "", x) for x in found if len(x) > 4 and not x.isalnum() and DOTTED.match(x)]
     if SINGLES.search(low):
         found += [re.sub(r"\s+", "", m) for m in SINGLES.findall(low)]
     return found
