@@ -13,8 +13,8 @@ with the highest margin (chosen anew each round), each also with inserted charac
 has the margins of its three worst units, turned into a probability by a logistic fit on training
 documents that the machine has not seen.
 
-A window that lacks two or more of a landmark's letters has kernel 0 with it, and so has one whose kernel
-is below LEAST: most words need no kernel at all. Long units are read in overlapping parts.
+A window that lacks one of a landmark's letters has kernel 0 with it, and so has one whose kernel is below
+LEAST: most words need no kernel at all. Long units are read in overlapping parts.
 
 The model is fitted on at most 2 * PER_CLASS labelled rows (whole texts) outside the held-out fold and is
 small whatever the size of the corpus. Scoring is one pass without a shuffle.
@@ -38,16 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, map_arrow, rows
 from .labelled import training_rows
+from .wordhash import powers
 
-MODULUS, HELD_OUT, PER_CLASS = 4, 2, 2000
+MODULUS, HELD_OUT, PER_CLASS = 4, 2, 1500
 LENGTH, DECAY, LANDMARKS = 3, 0.6, 32
 #: Lengths of landmarks; parts that long units are read in, and their overlap; kernels below LEAST count as 0.
 SHORT, LONG, LONGEST, OVERLAP, LEAST = 4, 7, 40, 14, 0.5
-REMEMBERED = 400_000
+REMEMBERED, SCORED = 400_000, 1_000_000
 #: Units whose margins make a document's score.
 WORST = 3
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+THREE = re.compile(r"\s\S[ \t]+\S[ \t]+\S(?!\S)")
 DOTTED = re.compile(r"(?:\w\W){2,}\w$")
 EDGES = ".,;:!?\"'()[]{}"
 
@@ -57,7 +59,7 @@ def units(sentence: str) -> list[str]:
     low = sentence.lower()
     found = [x.strip(EDGES) for x in low.split()]
     found += [re.sub(r"\W", "", x) for x in found if len(x) > 4 and not x.isalnum() and DOTTED.match(x)]
-    if SINGLES.search(low):
+    if THREE.search(" " + low):
         found += [re.sub(r"\s+", "", m) for m in SINGLES.findall(low)]
     return found
 
@@ -125,13 +127,13 @@ class Machine(dict):
         self.landmarks = landmarks
         self.codes = codes(landmarks, max(map(len, landmarks)))
         self.own = own if own is not None else np.sqrt(kernel(self.codes, self.codes))
-        self.masks = np.array([np.bitwise_or.reduce(_bits(codes([x], len(x))[0])) for x in landmarks])
-        self.needed = np.maximum(2, np.bitwise_count(self.masks).astype(np.int64) - 1)
-        # (width, landmarks): windows as long as the landmark, with two characters more, and with a character in every gap.
+        self.masks = np.array([np.bitwise_or.reduce(_bits(codes([y], len(y))[0])) for x in landmarks if (y := x.strip("^$"))])
+        apart = np.array([[c if c < n else -1 for c in range(LONG + 2)] for n in range(LONG + 3)], np.int32)
+        self.least_own = np.sqrt(kernel(apart, apart))
+        # Landmarks by the width of their windows: two characters more than they have, for what was inserted.
         self.widths: dict[int, list[int]] = {}
         for k, x in enumerate(landmarks):
-            for w in {len(x), len(x) + 2, 2 * len(x) - 1}:
-                self.widths.setdefault(w, []).append(k)
+            self.widths.setdefault(len(x) + 2, []).append(k)
 
     def learn(self, new: set[str]) -> None:
         """Kernel rows of units not seen so far, all in one go."""
@@ -139,8 +141,8 @@ class Machine(dict):
             self.clear()
         self.update(dict.fromkeys(new))
         names = [(u, p) for u in sorted(new) for p in parts(u)]
-        for a in range(0, len(names), 5_000):
-            self._learn(names[a : a + 5_000])
+        for a in range(0, len(names), 40_000):
+            self._learn(names[a : a + 40_000])
 
     def _learn(self, names: list[tuple[str, str]]) -> None:
         longest = max(len(p) for _, p in names)
@@ -153,27 +155,31 @@ class Machine(dict):
             # Windows end within the string; a string shorter than the window is one window.
             inside = np.arange(mask.shape[1])[None, :] <= np.maximum(size - w, 0)[:, None]
             for k in ks:
-                at, off = np.nonzero(inside & (np.bitwise_count(mask & self.masks[k]) >= self.needed[k]))
+                at, off = np.nonzero(inside & (mask & self.masks[k] == self.masks[k]))
                 if len(at):
                     self._score(names, text, at, off, w, k)
 
     def _score(self, names: list, text: np.ndarray, at: np.ndarray, off: np.ndarray, w: int, k: int) -> None:
         target = self.codes[k : k + 1, : len(self.landmarks[k])]
-        for c in range(0, len(at), 8_000):
-            rows_, start = at[c : c + 8_000], off[c : c + 8_000]
+        for c in range(0, len(at), 20_000):
+            rows_, start = at[c : c + 20_000], off[c : c + 20_000]
             windows = np.take_along_axis(text[rows_], start[:, None] + np.arange(w)[None, :], axis=1)
-            distinct, back = np.unique(windows, axis=0, return_inverse=True)
+            # Windows are told apart by a 64-bit hash: words share many of them.
+            _, at_first, back = np.unique((windows.astype(np.uint64) * powers(w)).sum(axis=1), return_index=True, return_inverse=True)
+            distinct = windows[at_first]
             both = kernel(distinct, np.repeat(target, len(distinct), axis=0))
-            own = np.sqrt(kernel(distinct, distinct))
-            value = (both / np.maximum(own * self.own[k], 1e-12))[back.ravel()]
-            for r, v in zip(rows_.tolist(), value.tolist(), strict=True):
-                if v >= LEAST:
-                    u = names[r][0]
-                    row = self[u]
-                    if row is None:
-                        row = self[u] = np.zeros(len(self.landmarks))
-                    if v > row[k]:
-                        row[k] = v
+            # A string's own kernel is least when its characters differ, so most windows need no own kernel.
+            near = both >= LEAST * self.own[k] * self.least_own[(distinct >= 0).sum(axis=1)]
+            value = np.zeros(len(distinct))
+            value[near] = both[near] / np.maximum(np.sqrt(kernel(distinct[near], distinct[near])) * self.own[k], 1e-12)
+            value = value[back.ravel()]
+            for i in np.flatnonzero(value >= LEAST).tolist():
+                u, v = names[rows_[i]][0], float(value[i])
+                row = self[u]
+                if row is None:
+                    row = self[u] = np.zeros(len(self.landmarks))
+                if v > row[k]:
+                    row[k] = v
 
     def of_sentences(self, sentences: list[list[str]]) -> np.ndarray:
         """The kernel row of each sentence's unit that is most like a landmark."""
@@ -330,7 +336,7 @@ class Scorer(dict):
         if self.machine is None:
             return np.full((len(texts), WORST), m.bias)
         new = {u for f in found for u in f if u not in self}
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(new) > SCORED:
             self.clear()
             new = {u for f in found for u in f}
         self.machine.clear()
