@@ -263,6 +263,25 @@ def test_kernel_by_brute_force():
         assert abs(toxicity.kernel(toxicity.codes([s], w), toxicity.codes([t], w))[0] - brute(s, t, 3, toxicity.DECAY)) < 1e-9
 
 
+def test_kernel_rows_are_the_highest_of_all_windows():
+    landmarks = ["idiot", "^moro", "loser$", "stup"]
+
+    def brute(unit, x):
+        k = lambda a, b: toxicity.kernel(toxicity.codes([a], len(a)), toxicity.codes([b], len(b)))[0]
+        whole = toxicity.marked(unit)
+        windows = {whole[i : i + w] for w in range(len(x), 2 * len(x) + 1) for i in range(max(1, len(whole) - w + 1))}
+        return max(k(w, x) / max(1e-12, (k(w, w) * k(x, x)) ** 0.5) for w in windows)
+
+    machine = toxicity.Machine(landmarks)
+    found = ["idiot", "ixdixot", "idxxiot", "ixdxiot", "idxiot", "idxxxiot", "idit", "mxoron", "l.o.s.e.r", "st", "stpu", "tree"]
+    machine.learn(set(found))
+    assert all(machine[u] is not None and machine[u][0] > 0 for u in ("idxiot", "ixdixot", "idxxiot", "ixdxiot"))
+    for u in found:
+        row = machine[u] if machine[u] is not None else np.zeros(len(landmarks))
+        full = np.array([brute(u, x) for x in landmarks])
+        assert np.allclose(row, np.where(full >= machine.least, full, 0), atol=1e-9), u
+
+
 def labelled(rng, n):
     rows = []
     for i in range(n):

@@ -3,9 +3,8 @@
 The kernel of two strings sums, over all subsequences of LENGTH characters they share, DECAY to the power
 of the stretch they take in both; normalised, it is 1 for equal strings and stays high when characters
 are inserted or gaps opened ("id.iot", "i d i o t"). Landmarks are the pieces of words that tell toxic from
-clean training documents best; a unit has with a landmark the highest kernel of its windows of about the
-landmark's length, so that stems show in longer words. The Nystroem map of a string is its kernel with the landmarks times the inverse
-square root of their own kernel matrix.
+clean training documents best; a unit has with a landmark the highest kernel of its windows, so that stems show in longer words. The Nystroem map
+of a string is its kernel with the landmarks times the inverse square root of their own kernel matrix.
 
 A sentence stands for its unit (a word, or a run of single characters) that is most like a landmark; a
 linear machine is trained on labelled sentences: those of clean documents, and of toxic documents the one
@@ -13,8 +12,9 @@ with the highest margin (chosen anew each round), each also with inserted charac
 has the margins of its three worst units, turned into a probability by a logistic fit on training
 documents that the machine has not seen.
 
-A window that lacks one of a landmark's letters has kernel 0 with it, and so has one whose kernel is below
-LEAST: most words need no kernel at all. Long units are read in overlapping parts.
+All windows of one to two times a landmark's length are looked at. A kernel below the least that two characters
+inserted anywhere in the landmark leave counts as 0; all others are exact, whichever letters a window lacks. Long
+units are read in overlapping parts.
 
 The model is fitted on at most 2 * PER_CLASS labelled rows (whole texts) outside the held-out fold and is
 small whatever the size of the corpus. Scoring is one pass without a shuffle.
@@ -30,6 +30,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, map_arrow, rows
 from .labelled import training_rows
-from .wordhash import powers
 
-MODULUS, HELD_OUT, PER_CLASS = 4, 2, 1500
+MODULUS, HELD_OUT, PER_CLASS = 4, 2, 2000
 LENGTH, DECAY, LANDMARKS = 3, 0.6, 32
-#: Lengths of landmarks; parts that long units are read in, and their overlap; kernels below LEAST count as 0.
-SHORT, LONG, LONGEST, OVERLAP, LEAST = 4, 7, 40, 14, 0.5
+#: Lengths of landmarks; parts that long units are read in, and their overlap (the widest window).
+SHORT, LONG, LONGEST, OVERLAP = 4, 7, 40, 14
+#: Parts whose kernels are taken at a time; kernels below what so many inserted characters leave count as 0.
+CHUNK, INSERTED = 2000, 2
 REMEMBERED, SCORED = 400_000, 1_000_000
 #: Units whose margins make a document's score.
 WORST = 3
@@ -93,9 +95,42 @@ def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH, decay: float = DE
     return total
 
 
-def _bits(c: np.ndarray) -> np.ndarray:
-    """One of 64 bits for each character, none past the end."""
-    return np.where(c >= 0, np.uint64(1) << (c % 61).astype(np.uint64), np.uint64(0))
+def own_kernels(s: np.ndarray, decay: float = DECAY) -> np.ndarray:
+    """Kernel (LENGTH 3) of every prefix of each row with itself: element w - 1 for the first w characters."""
+    n, width = s.shape
+    same = [[(s[:, i] == s[:, j]) & (s[:, i] >= 0) for j in range(i + 1)] for i in range(width)]
+    before = [[np.ones(n)] * (i + 1) for i in range(width + 1)]  # the kernels of pairs of prefixes, j <= i, for one length less
+    for _ in range(1, LENGTH):
+        now = [[np.zeros(n)] * (i + 1) for i in range(width + 1)]
+        for i in range(width):
+            run = np.zeros(n)
+            for j in range(i + 1):
+                run = decay * run + same[i][j] * (decay * decay * before[i][j])
+                now[i + 1][j + 1] = decay * (now[i][j + 1] if j < i else now[i + 1][i]) + run
+        before = now
+    total, out = np.zeros(n), np.zeros((n, width))
+    for i in range(width):
+        for j in range(i + 1):
+            total = total + same[i][j] * ((1 if i == j else 2) * decay * decay * before[i][j])
+        out[:, i] = total
+    return out
+
+
+#: The square root of the own kernel of n characters that all differ.
+DISTINCT = np.sqrt(own_kernels(np.arange(2 * LONG, dtype=np.int32)[None, :])[0, np.maximum(np.arange(2 * LONG + 1) - 1, 0)])
+
+
+def least_kernel(landmark: str) -> float:
+    """The lowest kernel of a landmark with itself after INSERTED other characters (alike or not) were put in, wherever they stand."""
+    n = len(landmark) + INSERTED
+    rows_ = []
+    for places, alike in product(combinations(range(1, n - 1), INSERTED), (False, True)):
+        row, rest = np.full(n, -2, np.int32), iter(landmark)
+        row[list(places)] = 0x110000 if alike else range(0x110000, 0x110000 + INSERTED)
+        row[row == -2] = [ord(c) for c in rest]
+        rows_.append(row)
+    s, t = np.array(rows_), codes([landmark] * len(rows_), len(landmark))
+    return float((kernel(s, t) / np.sqrt(kernel(s, s) * kernel(t, t))).min()) - 1e-9
 
 
 @dataclass
@@ -120,75 +155,123 @@ def parts(unit: str) -> list[str]:
 
 
 class Machine(dict):
-    """unit -> highest normalised kernel of a window of the unit with each landmark (None where all are zero)."""
+    """unit -> highest normalised kernel of a window of the unit with each landmark (None where all are below the least).
+
+    A window has as many characters as the landmark at least and twice as many at most; a shorter string is one
+    window. The kernel is summed from the triples of characters that some landmark has; all others add nothing.
+    """
 
     def __init__(self, landmarks: list[str], own: np.ndarray | None = None):
         super().__init__()
         self.landmarks = landmarks
         self.codes = codes(landmarks, max(map(len, landmarks)))
         self.own = own if own is not None else np.sqrt(kernel(self.codes, self.codes))
-        self.masks = np.array([np.bitwise_or.reduce(_bits(codes([y], len(y))[0])) for x in landmarks if (y := x.strip("^$"))])
-        apart = np.array([[c if c < n else -1 for c in range(LONG + 2)] for n in range(LONG + 3)], np.int32)
-        self.least_own = np.sqrt(kernel(apart, apart))
-        # Landmarks by the width of their windows: two characters more than they have, for what was inserted.
-        self.widths: dict[int, list[int]] = {}
+        self.lengths = np.array([len(x) for x in landmarks])
+        self.span = 2 * int(self.lengths.max())
+        self.letters = np.unique(self.codes[self.codes >= 0])
+        self.base = len(self.letters) + 1
+        weights: dict[int, np.ndarray] = {}
         for k, x in enumerate(landmarks):
-            self.widths.setdefault(len(x) + 2, []).append(k)
+            small = (np.searchsorted(self.letters, [ord(c) for c in x]) + 1).tolist()
+            for i, j, e in combinations(range(len(x)), LENGTH):
+                key = (small[i] * self.base + small[j]) * self.base + small[e]
+                weights.setdefault(key, np.zeros(len(landmarks)))[k] += DECAY ** (e - i + 1)
+        self.place = np.zeros(self.base**LENGTH, np.int32)
+        self.place[list(weights)] = np.arange(1, len(weights) + 1)
+        self.triples = np.vstack([np.zeros(len(landmarks)), *weights.values()])
+        # Second and third characters of the subsequences that start at a place, by the place of the third.
+        self.second, self.third = (np.array(x) for x in zip(*[(j, e) for e in range(2, self.span) for j in range(1, e)], strict=True))
+        self.least = np.array([least_kernel(x) for x in landmarks])
+        # A string's own kernel is least when its characters differ: below these sums no window reaches the least value.
+        self.bound = np.array([self.least * self.own * DISTINCT[np.maximum(n, LENGTH)] for n in (np.full(len(landmarks), LENGTH), self.lengths)])
+        # Of a landmark's own kernel, the part of the triples made of a set of its letters bounds what strings of these letters reach.
+        self.enough = []
+        for k in range(len(landmarks)):
+            keys = {key: w[k] ** 2 for key, w in weights.items() if w[k] > 0}
+            letters = sorted({c for key in keys for c in self._letters_of(key)})
+            share = [sum(v for key, v in keys.items() if all(m >> letters.index(c) & 1 for c in self._letters_of(key))) for m in range(1 << len(letters))]
+            self.enough.append((np.array(letters), np.sqrt(share) >= self.least[k] * self.own[k] * (1 - 1e-9)))
+        self.by_length = [(int(n), np.flatnonzero(self.lengths == n)) for n in np.unique(self.lengths)]
+
+    def _letters_of(self, key: int) -> tuple[int, int, int]:
+        return key // self.base**2, key // self.base % self.base, key % self.base
 
     def learn(self, new: set[str]) -> None:
         """Kernel rows of units not seen so far, all in one go."""
         if len(self) + len(new) > REMEMBERED:
             self.clear()
         self.update(dict.fromkeys(new))
-        names = [(u, p) for u in sorted(new) for p in parts(u)]
-        for a in range(0, len(names), 40_000):
-            self._learn(names[a : a + 40_000])
+        names = sorted(((u, p) for u in sorted(new) for p in parts(u)), key=lambda x: -len(x[1]))
+        for a in range(0, len(names), CHUNK):
+            some = names[a : a + CHUNK]
+            text = codes([p for _, p in some], len(some[0][1]))
+            near = np.flatnonzero(self.can_reach(text))
+            best = self.highest(text[near]) if len(near) else np.zeros((0, len(self.landmarks)))
+            for k in np.flatnonzero(best.any(axis=1)).tolist():
+                u = some[near[k]][0]
+                row = self[u]
+                self[u] = best[k] if row is None else np.maximum(row, best[k])
+
+    def can_reach(self, text: np.ndarray) -> np.ndarray:
+        """Whether the letters of each row let some landmark's kernel reach its least value (Cauchy-Schwarz)."""
+        at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
+        has = np.zeros((len(text), self.base), bool)
+        has[np.arange(len(text))[:, None], np.where(self.letters[at] == text, at + 1, 0)] = True
+        out = np.zeros(len(text), bool)
+        for letters, enough in self.enough:
+            out |= enough[has[:, letters] @ (1 << np.arange(len(letters)))]
+        return out
 
-    def _learn(self, names: list[tuple[str, str]]) -> None:
-        longest = max(len(p) for _, p in names)
-        text = codes([p for _, p in names], longest)
+    def highest(self, text: np.ndarray) -> np.ndarray:
+        """Highest normalised kernel of a window of each row, longest rows first, with each landmark."""
+        n, width = text.shape
         size = (text >= 0).sum(axis=1)
-        bit = _bits(text)
-        for width, ks in self.widths.items():
-            w = min(width, longest)
-            mask = np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(bit, w, axis=1), axis=2)
-            # Windows end within the string; a string shorter than the window is one window.
-            inside = np.arange(mask.shape[1])[None, :] <= np.maximum(size - w, 0)[:, None]
-            for k in ks:
-                at, off = np.nonzero(inside & (mask & self.masks[k] == self.masks[k]))
-                if len(at):
-                    self._score(names, text, at, off, w, k)
-
-    def _score(self, names: list, text: np.ndarray, at: np.ndarray, off: np.ndarray, w: int, k: int) -> None:
-        target = self.codes[k : k + 1, : len(self.landmarks[k])]
-        for c in range(0, len(at), 20_000):
-            rows_, start = at[c : c + 20_000], off[c : c + 20_000]
-            windows = np.take_along_axis(text[rows_], start[:, None] + np.arange(w)[None, :], axis=1)
-            # Windows are told apart by a 64-bit hash: words share many of them.
-            _, at_first, back = np.unique((windows.astype(np.uint64) * powers(w)).sum(axis=1), return_index=True, return_inverse=True)
-            distinct = windows[at_first]
-            both = kernel(distinct, np.repeat(target, len(distinct), axis=0))
-            # A string's own kernel is least when its characters differ, so most windows need no own kernel.
-            near = both >= LEAST * self.own[k] * self.least_own[(distinct >= 0).sum(axis=1)]
-            value = np.zeros(len(distinct))
-            value[near] = both[near] / np.maximum(np.sqrt(kernel(distinct[near], distinct[near])) * self.own[k], 1e-12)
-            value = value[back.ravel()]
-            for i in np.flatnonzero(value >= LEAST).tolist():
-                u, v = names[rows_[i]][0], float(value[i])
-                row = self[u]
-                if row is None:
-                    row = self[u] = np.zeros(len(self.landmarks))
-                if v > row[k]:
-                    row[k] = v
+        at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
+        small = np.pad(np.where(self.letters[at] == text, at + 1, 0).astype(np.int32), ((0, 0), (0, self.span)))
+        text = np.pad(text, ((0, 0), (0, self.span)), constant_values=-1)
+        best, both = np.zeros((n, len(self.landmarks))), np.zeros((n, self.span, len(self.landmarks)))
+        for start in range(width - LENGTH, -1, -1):
+            live = int((size >= start + LENGTH).sum())
+            left = size[:live] - start
+            w = min(self.span, int(left[0]))
+            # both: the kernels of the windows from here on by their width; they hold those from the next place on.
+            both[:live, 1:w] = both[:live, : w - 1].copy()
+            pairs = int(np.searchsorted(self.third, w))
+            key = (small[:live, start, None] * self.base + small[:live, start + self.second[:pairs]]) * self.base + small[:live, start + self.third[:pairs]]
+            ids = self.place[key]
+            row, pair = np.nonzero(ids)
+            if len(row):
+                end = self.third[pair]
+                cell = row * w + end
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                kinds, where = np.unique(row, return_inverse=True)
+                added = np.zeros((len(kinds), w, len(self.landmarks)))
+                added[where[first], end[first]] = np.add.reduceat(self.triples[ids[row, pair]] * (DECAY ** (end + 1.0))[:, None], first, axis=0)
+                both[kinds, :w] += np.cumsum(added, axis=1)
+            found = np.flatnonzero((both[:live, w - 1] >= self.bound[min(start, 1)] * (1 - 1e-9)).any(axis=1))
+            if not len(found):
+                continue
+            own = np.sqrt(own_kernels(text[found, start : start + w]))
+            inside = np.arange(1, w + 1) <= left[found, None]
+            value = both[found, :w] * np.where(inside, 1 / np.maximum(own, 1e-12), 0.0)[:, :, None]
+            for n_chars, ks in self.by_length:
+                if n_chars <= w:
+                    best[found[:, None], ks] = np.maximum(best[found[:, None], ks], value[:, n_chars - 1 : 2 * n_chars, ks].max(axis=1))
+            if start == 0:
+                short = self.lengths > size[found, None]
+                best[found] = np.maximum(best[found], value[np.arange(len(found)), np.minimum(size[found], w) - 1] * short)
+        best /= self.own
+        return np.where(best >= self.least, best, 0.0)
 
     def of_sentences(self, sentences: list[list[str]]) -> np.ndarray:
         """The kernel row of each sentence's unit that is most like a landmark."""
         self.learn({u for s in sentences for u in s if u not in self})
         out = np.zeros((len(sentences), len(self.landmarks)))
+        top = {u: float(r.max()) for u, r in self.items() if r is not None}
         for i, s in enumerate(sentences):
-            found = [r for u in s if (r := self[u] if u in self else None) is not None]
+            found = [u for u in s if u in top]
             if found:
-                out[i] = max(found, key=lambda r: r.max())
+                out[i] = self[max(found, key=top.__getitem__)]
         return out
 
 
