@@ -273,7 +273,7 @@ def test_kernel_rows_are_the_highest_of_all_windows():
         return max(k(w, x) / max(1e-12, (k(w, w) * k(x, x)) ** 0.5) for w in windows)
 
     machine = toxicity.Machine(landmarks)
-    found = ["idiot", "ixdixot", "idxxiot", "ixdxiot", "idxiot", "idxxxiot", "idit", "mxoron", "l.o.s.e.r", "st", "stpu", "tree"]
+    found = ["idiot", "ixdixot", "idxxiot", "ixdxiot", "idxiot", "idxxxiot", "idit", "mxoron", "l.o.s.e.r", "q" * 20, "st", "stpu", "tree"]
     machine.learn(set(found))
     assert all(machine[u] is not None and machine[u][0] > 0 for u in ("idxiot", "ixdixot", "idxxiot", "ixdxiot"))
     for u in found:

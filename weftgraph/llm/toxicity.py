@@ -232,6 +232,8 @@ class Machine(dict):
         best, both = np.zeros((n, len(self.landmarks))), np.zeros((n, self.span, len(self.landmarks)))
         for start in range(width - LENGTH, -1, -1):
             live = int((size >= start + LENGTH).sum())
+            if not live:
+                continue
             left = size[:live] - start
             w = min(self.span, int(left[0]))
             # both: the kernels of the windows from here on by their width; they hold those from the next place on.
