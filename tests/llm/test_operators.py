@@ -12,6 +12,7 @@ tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from weftgraph.llm import bpe, components, decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, quality, token_counts, toxicity, warc  # noqa: E402
+from weftgraph.llm.common import Scratch  # noqa: E402
 from weftgraph.llm.wordhash import shingle_set, words_of  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rep string, keys string, cell string"
@@ -88,72 +89,103 @@ def test_exact_dedup_recipes_join_to_the_text(spark):
     assert "".join(parts) == text and len(parts) > 10 and max(map(len, parts)) <= exact_dedup.MOST
 
 
-def test_jaccard_brute_force(spark, sample):
-    rng = random.Random(3)
-    base = [prose(n, rng) for n in (3, 5, 6, 40, 200)]
-    texts = [*ODD, "one two", "ONE  two", *base]
-    for t in base:
-        w = t.split()
-        for k in (1, 2, 3, 6, 12):
-            v = list(w)
-            for _ in range(k):
-                v[rng.randrange(len(v))] = f"n{rng.randrange(9)}"
-            texts.append(" ".join(v))
-    docs = sample.select("doc_id", "text").union(docs_of(spark, texts, 10_000).select("doc_id", "text"))
-    sets = {r["doc_id"]: set(shingle_set(r["text"]).tolist()) for r in docs.collect()}
-    ids = sorted(sets)
-    up = {i: i for i in ids}
+def components_by_brute_force(rows):
+    """(n_shingles, component) of each row of (id, text): all pairs of sets are compared."""
+    sets = [(i, set(shingle_set(t).tolist())) for i, t in rows]
+    up = list(range(len(sets)))
 
     def find(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sets[a], sets[b]
+    for k, (_, x) in enumerate(sets):
+        for m in range(k):
+            y = sets[m][1]
             both = len(x & y)
             if x and y and 100 * both >= 75 * (len(x) + len(y) - both):
-                p, q = find(a), find(b)
+                p, q = find(k), find(m)
                 up[max(p, q)] = min(p, q)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets)]
 
 
-def test_jaccard_large_cells(spark, monkeypatch):
-    """Blocks, levels and block pairs, with many near copies and small blocks."""
+def edited(base, rng, changes):
+    v = base.split()
+    for _ in range(changes):
+        v[rng.randrange(len(v))] = f"n{rng.randrange(9)}"
+    return " ".join(v)
+
+
+def test_jaccard_brute_force(spark, sample):
+    rng = random.Random(3)
+    base = [prose(n, rng) for n in (3, 5, 6, 40, 200)]
+    texts = [*ODD, "one two", "ONE  two", *base, *(edited(t, rng, k) for t in base for k in (1, 2, 3, 6, 12))]
+    docs = sample.select("doc_id", "text").union(docs_of(spark, texts, 10_000).select("doc_id", "text"))
+    want = components_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_jaccard_large_families(spark, monkeypatch):
+    """Blocks, levels and block pairs: many near copies of several distances, and small blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(4)
-    w = [f"w{i}" for i in range(120)]
-    texts = []
-    for _ in range(60):
-        v = list(w)
-        v[rng.randrange(120)] = f"n{rng.randrange(1000)}"
-        texts.append(" ".join(v))
-    texts += [prose(100, rng) for _ in range(5)]
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect()}
-    assert all(got[i] == 0 for i in range(60)) and all(got[i] == i for i in range(60, 65))
-    left = jaccard_join.one_of_each_group(docs_of(spark, texts))
-    assert sorted(r["doc_id"] for r in left.collect()) == [0, *range(60, 65)] and left.columns == docs_of(spark, []).columns
-
-
-def test_tree_prunes_and_loses_nothing():
+    base = " ".join(f"w{i}" for i in range(120))
+    texts = [edited(base, rng, k) for k in (1, 2, 3, 4, 5, 8) for _ in range(15)]
+    texts += [prose(100, rng) for _ in range(5)] + [base[: len(base) * 9 // 10], base[: len(base) * 7 // 10]]
+    docs = docs_of(spark, texts)
+    want = components_by_brute_force(list(enumerate(texts)))
+    assert 2 < len({c for _, _, c in want}) < len(texts) - 20
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()]
+    assert sorted(got) == sorted(want)
+    left = jaccard_join.one_of_each_group(docs)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({c for _, _, c in want}) and left.columns == docs.columns
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    rng = random.Random(14)
+    a, b = prose(40, rng, 10**6), prose(40, rng, 10**6)
+    rows = [(3, a), (5, a + " x"), (5, b), (5, b), (7, b), (None, a), (None, "nowhere else at all in here"), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == Counter([(3, 36, 3), (5, 37, 3), (5, 36, 5), (5, 36, 5), (7, 36, 5), (None, 36, 3), (None, 2, None), (None, 0, None), (9, 0, 9)])
+    assert Counter(r["doc_id"] for r in jaccard_join.one_of_each_group(docs).collect()) == Counter([3, 5, 5, 5, None, None, None, 9])
+
+
+@pytest.mark.parametrize("bitmap_bytes", [64 << 20, 64])
+def test_trees_prune_and_lose_nothing(monkeypatch, bitmap_bytes):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", bitmap_bytes)
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 30, 31, 200, 210)]
-    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], rng.integers(0, 1 << 63, 1, dtype=np.uint64)])) for s in sets]
-    want = {(i, j) for i in range(10) for j in range(i) if jaccard_join.linked(sets[i], sets[j])}
-    found = jaccard_join.tree_links(sets)
-    union = jaccard_join.Union(10)
-    for i, j in found:
-        assert (j, i) in want or (i, j) in want
-        union.join(i, j)
-    assert all(union.find(i) == union.find(j) for i, j in want)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 30, 31, 63, 64, 200, 210)]
+    for share in (0.97, 0.9, 0.8, 0.7):
+        sets += [np.unique(np.concatenate([rng.permutation(s)[: int(np.ceil(len(s) * share))], rng.integers(0, 1 << 63, 1, dtype=np.uint64)])) for s in sets[:8]]
+    n = len(sets)
+    want = {(i, j) for i in range(n) for j in range(n) if i != j and jaccard_join.linked(sets[i], sets[j])}
+
+    def joined(pairs):
+        union = jaccard_join.Union(n)
+        for i, j in pairs:
+            union.join(i, j)
+        return union
+
+    found = jaccard_join.set_links(sets)
+    assert set(found) <= want and (joined(found).names() == joined(want).names()).all()
+    across = jaccard_join.set_links(sets, cut=20)
+    assert {i < 20 <= j for i, j in across} == {True}
+    assert (joined(across).names() == joined((i, j) for i, j in want if i < 20 <= j).names()).all()
+    size = np.array([len(s) for s in sets])
+    may = joined(jaccard_join.bitmap_links(size, [jaccard_join.bitmap(s, jaccard_join.width(len(s))).tobytes() for s in sets]))
+    assert all(may.find(i) == may.find(j) for i, j in want) and len(set(may.names().tolist())) > 3
 
 
 def test_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "ONE_TASK", 3)
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 40), (41, 40), (50, 50)], "u long, v long")
-    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    with Scratch(spark) as scratch:
+        got = {r["id"]: r["component"] for r in components.components(edges, scratch).collect()}
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in (30, 40, 41)} == {30}
 
 

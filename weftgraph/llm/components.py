@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, rows
+from .common import Scratch, map_arrow, rows
 
 #: Edges that one task may hold.
 ONE_TASK = 1_000_000
@@ -46,20 +46,21 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], names=["id", "component"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """id, component (its least id) of every node that has an edge. ``edges``: u long, v long, no nulls.
 
-    At most ONE_TASK edges (32 MB, counted first) are one task's union and find; more go round by round.
+    At most ONE_TASK edges (16 MB, counted first) are one task's union and find; more go round by round.
     Each round is written to the shared folder; it ends when a round changes nothing. Only counts and
     sums come to the driver.
     """
     if edges.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        return materialize(map_arrow(edges.select("u", "v").coalesce(1), _forest, "id long, component long"), "components")
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+        return scratch(map_arrow(edges.select("u", "v").coalesce(1), _forest, "id long, component long"), "components")
+    edges = scratch(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
     size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).alias("x")
     before = edges.select(size).first()["x"]
     for _ in range(rounds):
-        edges = materialize(_star(_star(edges, True), False), "cc")
+        last, edges = edges, scratch(_star(_star(edges, True), False), "stars")
+        scratch.drop(last)
         now = edges.select(size).first()["x"]
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
