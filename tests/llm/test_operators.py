@@ -197,26 +197,98 @@ def test_word_hashes_are_those_of_words(monkeypatch):
     seen = {}
     for t, w in zip(texts, words_of(texts), strict=True):
         found = (t or "").encode().lower().split()
-        assert len(found) == len(w.hashes)
-        for word, h in zip(found, w.hashes.tolist(), strict=True):
+        assert len(found) == len(w)
+        for word, h in zip(found, w.tolist(), strict=True):
             assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
 
 
+def runs_by_brute_force(rows):
+    """Word ranges to delete of (doc_id, key, text) rows, from the definition: every fingerprint meets its first occurrence, word by word."""
+    rows = sorted({r for r in rows if r[0] is not None and r[2] is not None})
+    words = [r[2].encode("utf-8", "replace").lower().split() for r in rows]
+    first, ranges = {}, {}
+    for d, w in enumerate(words):
+        order = line_dedup.line_hashes(next(words_of([rows[d][2]]))).tolist()
+        n = len(w) - line_dedup.LINE + 1
+        assert len(order) == max(0, n)
+        windows = [order[k : k + line_dedup.WINDOW] for k in range(n - line_dedup.WINDOW + 1)]
+        picked = sorted({k + j for k, x in enumerate(windows) for j, v in enumerate(x) if v == min(x)})
+        for a in picked:
+            f, at = first.setdefault(tuple(w[a : a + line_dedup.LINE]), (d, a))
+            if (f, at) != (d, a):
+                l, r, v = 0, 0, words[f]
+                while l < min(line_dedup.BEFORE, a, at) and w[a - l - 1] == v[at - l - 1]:
+                    l += 1
+                while r < min(line_dedup.AFTER, len(w) - a, len(v) - at) and w[a + r] == v[at + r]:
+                    r += 1
+                ranges.setdefault(d, []).append((a - l, a + r))
+    out = {}
+    for d, found in ranges.items():
+        covered = {k for lo, hi in found for k in range(lo, hi)}
+        # Ranges that touch are one; words between ranges that do not touch are not covered.
+        starts = [k for k in sorted(covered) if k - 1 not in covered]
+        runs = [(k, next(e for e in range(k, len(words[d]) + 1) if e not in covered)) for k in starts]
+        out[rows[d][:2]] = [r for r in runs if r[1] - r[0] >= line_dedup.LEAST_WORDS]
+    return {k: v for k, v in out.items() if v}
+
+
+def passages(rng):
+    """Texts with planted passages of 51 to 90 words, of rich and of poor vocabulary, and with repeats of a few words over and over."""
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    planted = [prose(rng.randrange(51, 90), rng, size) for size in (10**6, 10**6, 300, 300, 30, 4)]
+    texts = [own(60) + " " + " ".join(rng.sample(planted, 2)) + "\n" + own(40) + "\t" + rng.choice(planted).upper() for _ in range(40)]
+    texts += [planted[0], "x " * 300, "a b c " * 200, own(44) + "\n" + own(10), None, "", " ", *["exact copy " + planted[1] + " of all"] * 3]
+    return texts, planted
+
+
+def report_of(spark, docs):
+    keyed = docs.select("doc_id", line_dedup.text_key().alias("key"), "text").collect()
+    runs = {(r["doc_id"], r["key"]): list(zip(r["lo"], r["hi"], strict=True)) for r in line_dedup.repeated_runs(docs).collect()}
+    return runs, runs_by_brute_force([tuple(r) for r in keyed])
+
+
+def test_line_dedup_is_as_defined(spark, sample):
+    texts, planted = passages(random.Random(7))
+    texts += [t[: len(t) * 2 // 3] + " changed " + t[len(t) * 2 // 3 :] for t in planted]
+    docs = docs_of(spark, texts).select("doc_id", "text").union(sample.select(F.col("doc_id") + 1000, "text").limit(150))
+    got, want = report_of(spark, docs)
+    assert got == want and len(got) > 40
+
+
 def test_line_dedup(spark):
-    rng = random.Random(7)
-    passage = " ".join(f"Passage{rng.randrange(10**6)} word{rng.randrange(10**6)}." for _ in range(40))
-    own = [prose(150, rng, 10**6) for _ in range(4)]
-    texts = [own[0] + " " + passage + " " + own[1], own[2] + "\n" + passage, own[3], passage, None, "", own[3][:200] + " end", own[3]]
+    texts, planted = passages(random.Random(8))
     docs = docs_of(spark, texts)
-    out = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
-    assert out[0]["text"] == texts[0] and out[2]["text"] == own[3] and out[4]["text"] is None and out[5]["text"] == ""
-    for i in (1, 3):
-        assert len(set(out[i]["text"].split()) & set(passage.split())) <= 16
-    assert own[2][:100] in out[1]["text"] and len(out[7]["text"].split()) <= 16 and out[7]["n_chars"] == len(out[7]["text"])
-    assert line_dedup.line_dedup(docs).columns == docs.columns
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert line_dedup.line_dedup(docs).columns == docs.columns and len(out) == len(texts)
+    left = " ".join((out[i] or "").lower() for i in sorted(out))
+    # Every passage of rich vocabulary is there once, to the word; what is not repeated stays.
+    for p in planted[:4]:
+        assert " ".join(left.split()).count(" ".join(p.split()[:20])) == 1 and " ".join(left.split()).count(" ".join(p.split()[-20:])) == 1
+    for i, t in enumerate(texts[:40]):
+        assert [w for w in out[i].split() if w.startswith("own")] == [w for w in t.split() if w.startswith("own")]
+    assert out[44] is None and out[45] == "" and out[46] == " " and out[0] == texts[0]
     report = {r["doc_id"]: r for r in line_dedup.line_dedup_report(docs).collect()}
-    assert len(report) == len(texts) and report[0]["n_runs"] == 0 and report[1]["n_words_deleted"] >= 60
+    assert all(report[i]["n_words_deleted"] == len((texts[i] or "").split()) - len((out[i] or "").split()) for i in out)
+
+
+def test_line_dedup_on_odd_tables(spark):
+    rng = random.Random(13)
+    t, u = prose(80, rng, 10**6), prose(80, rng, 10**6)
+    rows = [(3, t, 1, 2), (5, t, 1, 2), (5, t, 1, 2), (5, u, 1, 2), (5, t + " " + u, 1, 2), (None, t, 1, 2), (None, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lo int, _lo int")
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert left[3, t] == 1 and left[5, ""] >= 2 and left[None, t] == 1 and left[None, None] == 1 and sum(left.values()) == 7
+    assert sum(n for (_, x), n in left.items() if x and u in x) == 1
+    # A line feed every few words, none at all, and a text of 70 000 words before the passage.
+    long = "word " * 70_000 + t
+    docs = docs_of(spark, [t.replace(" ", "\n"), long])
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert out[1].split() == ["word"]
+    got, want = report_of(spark, docs_of(spark, ["q " * 500 + t, t]))
+    assert got == want
 
 
 def test_line_dedup_deletes_only_what_was_there_before(spark, sample):
@@ -226,12 +298,12 @@ def test_line_dedup_deletes_only_what_was_there_before(spark, sample):
     for i in sorted(texts):
         w = texts[i].lower().split()
         covered = np.zeros(len(w), bool)
-        for k in range(len(w) - 3):
-            if tuple(w[k : k + 4]) in seen:
-                covered[k : k + 4] = True
-            seen.add(tuple(w[k : k + 4]))
-        for a, b in runs[i]:
-            assert covered[a:b].mean() > 0.9
+        for k in range(len(w) - line_dedup.LINE + 1):
+            x = tuple(w[k : k + line_dedup.LINE])
+            if x in seen:
+                covered[k : k + line_dedup.LINE] = True
+            seen.add(x)
+        assert all(covered[a:b].all() and b - a >= line_dedup.LEAST_WORDS for a, b in runs[i])
         assert line_dedup.delete_runs(texts[i], []) == texts[i]
 
 

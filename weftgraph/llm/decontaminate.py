@@ -91,7 +91,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     def run(batches):
         find = Index(index.value, threshold)
         for ids, texts in rows(batches, "doc_id", "text"):
-            out = [(i, *m) for i, w in zip(ids, words_of(texts), strict=True) for m in find.search(shingle_hashes(w.hashes, K))]
+            out = [(i, *m) for i, w in zip(ids, words_of(texts), strict=True) for m in find.search(shingle_hashes(w, K))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64()), pa.array([o[2] / o[3] for o in out], pa.float64())],
                 names=["doc_id", "item_id", "n_found", "n_item", "containment"],

@@ -51,17 +51,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """The words of one text: their hashes, last bytes, and whether a line feed follows."""
-
-    __slots__ = ("feed", "hashes", "last")
-
-    def __init__(self, hashes: np.ndarray, last: np.ndarray, feed: np.ndarray):
-        self.hashes, self.last, self.feed = hashes, last, feed
-
-
-def _hash(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash, last byte of the words of a piece, and whether a line feed follows (within the piece)."""
+def _hash(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the words of a piece."""
     b = np.frombuffer(raw, np.uint8)
     word = ~WHITE[b]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
@@ -69,14 +60,7 @@ def _hash(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     forward, back = _places(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTES[b] * forward[:-1], out=total[1:])
-    hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    feeds = np.flatnonzero(b == 10)
-    after = np.searchsorted(feeds, end)
-    next_start = np.append(start[1:], len(b))
-    feed = np.zeros(len(start), bool)
-    there = after < len(feeds)
-    feed[there] = feeds[after[there]] < next_start[there]
-    return start, hashes, b[end - 1] if len(end) else np.empty(0, np.uint8), feed
+    return start, mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -91,13 +75,8 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def _long(raw: bytes) -> Words:
-    parts = [_hash(p) for p in _pieces(raw)]
-    return Words(*(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)))
-
-
-def words_of(texts: Sequence[str | None]) -> Iterator[Words]:
-    """The words of each text, in order."""
+def words_of(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, in order."""
     group: list[bytes] = []
     size = 0
     for t in texts:
@@ -106,7 +85,7 @@ def words_of(texts: Sequence[str | None]) -> Iterator[Words]:
             yield from _group(group)
             group, size = [], 0
         if len(raw) > GROUP:
-            yield _long(raw)
+            yield np.concatenate([_hash(p)[1] for p in _pieces(raw)])
         else:
             group.append(raw)
             size += len(raw) + 1
@@ -114,13 +93,11 @@ def words_of(texts: Sequence[str | None]) -> Iterator[Words]:
         yield from _group(group)
 
 
-def _group(group: list[bytes]) -> Iterator[Words]:
-    start, hashes, last, feed = _hash(b" ".join(group))
-    ends = np.cumsum([len(g) + 1 for g in group])
-    cuts = np.searchsorted(start, ends)
+def _group(group: list[bytes]) -> Iterator[np.ndarray]:
+    start, hashes = _hash(b" ".join(group))
     lo = 0
-    for hi in cuts.tolist():
-        yield Words(hashes[lo:hi], last[lo:hi], feed[lo:hi])
+    for hi in np.searchsorted(start, np.cumsum([len(g) + 1 for g in group])).tolist():
+        yield hashes[lo:hi]
         lo = hi
 
 
@@ -140,7 +117,7 @@ def shingle_hashes(hashes: np.ndarray, k: int = 5) -> np.ndarray:
 def shingle_sets(texts: Sequence[str | None], k: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each whole text."""
     for w in words_of(texts):
-        yield np.unique(shingle_hashes(w.hashes, k))
+        yield np.unique(shingle_hashes(w, k))
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
