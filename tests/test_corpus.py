@@ -181,3 +181,14 @@ def test_stream_of_documents(spark, docs, tmp_path):
     docs.write.mode("append").parquet(src)
     I.ingest(I.read_sentences(spark, src), store, check, 3).awaitTermination()
     assert {r["pattern"]: r["freq"] for r in I.latest(spark, store).collect()} == {"a": 4, "b": 3, "c": 2, "d": 1}
+
+
+def test_negatives_are_always_as_many_as_asked(spark):
+    """One pattern holds nearly all slots: rows that avoid it, and rows that avoid another or none."""
+    vocab = spark.createDataFrame([(0, 0, 99_000_000), (1, 99_000_000, 99_999_990), (2, 99_999_990, 100_000_000)], "pattern_id long, neg_lo long, neg_hi long")
+    targets = spark.createDataFrame([(i, i % 4) for i in range(60)], "i long, avoid long")
+    got = {r["i"]: r["negatives"] for r in C.negatives(targets, vocab, ["i"], "avoid").collect()}
+    assert len(got) == 60 and all(len(x) == 10 and i % 4 not in x for i, x in got.items())
+    assert {x for i, v in got.items() if i % 4 == 0 for x in v} >= {1} and {x for i, v in got.items() if i % 4 == 1 for x in v} >= {0}
+    alone = vocab.where("pattern_id = 0")
+    assert C.negatives(targets.where("avoid = 0"), alone, ["i"], "avoid").count() == 0

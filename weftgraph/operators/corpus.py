@@ -59,20 +59,24 @@ def add_documents(freq: DataFrame, new_docs: DataFrame, known_docs: DataFrame, w
     return freq.unionByName(more).groupBy("pattern").agg(F.sum("freq").alias("freq"), F.min("first").alias("first"))
 
 
-def negatives(targets: DataFrame, vocab: DataFrame, keys: list[str], avoid: str, size: int = NEGATIVES, seed: int = 0, spare: int = 3) -> DataFrame:
-    """``keys`` and negatives array<bigint>: ``size`` draws for each row, none of them the id in ``avoid``.
+def negatives(targets: DataFrame, vocab: DataFrame, keys: list[str], avoid: str, size: int = NEGATIVES, seed: int = 0) -> DataFrame:
+    """``keys`` and negatives array<bigint>: exactly ``size`` draws for each row, none of them the id in ``avoid``.
 
-    Draws are hashes of the keys and the number of the draw. ``size * spare`` slots are drawn, and the
-    first ``size`` of those that are not the avoided pattern stay.
+    Draws are hashes of the keys and the number of the draw, on the slots without those of the avoided
+    pattern, so none has to be drawn again. A row for which no slot is left gets no draws and no row.
     """
     top = vocab.agg(F.max("neg_hi").alias("slots"))
     step = F.ceil(F.col("slots") / BUCKETS).cast("bigint")
-    drawn = targets.select(*keys, F.col(avoid).alias("_avoid"), F.explode(F.sequence(F.lit(0), F.lit(size * spare - 1))).alias("_k")).crossJoin(F.broadcast(top))
-    slot = F.floor(uniform(seed, *[F.col(k) for k in keys], F.col("_k")) * F.col("slots")).cast("bigint")
-    drawn = drawn.withColumn("_slot", slot).withColumn("_bucket", F.floor(F.col("_slot") / step).cast("bigint"))
+    own = vocab.select(F.col("pattern_id").alias("_avoid"), F.col("neg_lo").alias("_lo"), (F.col("neg_hi") - F.col("neg_lo")).alias("_own"))
+    asked = targets.select(*keys, F.col(avoid).cast("bigint").alias("_avoid")).join(own, "_avoid", "left").crossJoin(F.broadcast(top))
+    left = F.col("slots") - F.coalesce("_own", F.lit(0))
+    drawn = asked.withColumn("_left", left).where("_left > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    slot = F.floor(uniform(seed, *[F.col(k) for k in keys], F.col("_k")) * F.col("_left")).cast("bigint")
+    drawn = drawn.withColumn("_slot", slot + F.when(slot >= F.col("_lo"), F.col("_own")).otherwise(F.lit(0)))
+    drawn = drawn.withColumn("_bucket", F.floor(F.col("_slot") / step).cast("bigint")).select(*keys, "_k", "_slot", "_bucket")
     spans = vocab.where("neg_hi > neg_lo").crossJoin(F.broadcast(top)).select("pattern_id", "neg_lo", "neg_hi", F.explode(F.sequence(F.floor(F.col("neg_lo") / step).cast("bigint"), F.floor((F.col("neg_hi") - 1) / step).cast("bigint"))).alias("_bucket"))
-    hit = drawn.join(spans, "_bucket").where((F.col("_slot") >= F.col("neg_lo")) & (F.col("_slot") < F.col("neg_hi")) & (F.col("pattern_id") != F.col("_avoid")))
-    listed = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_k", "pattern_id"))), lambda x: x["pattern_id"]), 1, size)
+    hit = drawn.join(spans, "_bucket").where((F.col("_slot") >= F.col("neg_lo")) & (F.col("_slot") < F.col("neg_hi")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "pattern_id"))), lambda x: x["pattern_id"])
     return hit.groupBy(*keys).agg(listed.alias("negatives"))
 
 

@@ -135,9 +135,9 @@ def wl_counts_centre(spark, sf_dir):
     return L.wl_counts(_wl(spark, sf_dir), "centre")
 
 
-@query(WL_SQL + f", {WL_TOKENS}, c AS (SELECT graph_id, pattern, count(*) AS cnt FROM t GROUP BY ALL) SELECT graph_id, pattern, cnt, round(cnt / sum(cnt) OVER (PARTITION BY graph_id), 6) AS prob FROM c")
+@query(WL_SQL + f", {WL_TOKENS}, c AS (SELECT graph_id, pattern, count(*) AS cnt FROM t GROUP BY ALL) SELECT graph_id, pattern, cnt, cnt / sum(cnt) OVER (PARTITION BY graph_id) AS prob FROM c")
 def wl_prob(spark, sf_dir):
-    return with_probabilities(L.wl_counts(_wl(spark, sf_dir))).withColumn("prob", _r(F.col("prob")))
+    return with_probabilities(L.wl_counts(_wl(spark, sf_dir)))
 
 
 @query(WL_SQL + f" SELECT graph_id, 'wl' AS doc_kind, node_id * {L.LINES} + it AS line_no, array_to_string(list_concat([it || '+' || label], list_transform(list_sort(list_distinct(neighbours)), lambda x: it || '+' || x)), ' ') AS tokens FROM wl")
@@ -343,9 +343,12 @@ def _negatives_sql(source: str, keys: list[str], avoid: str) -> str:
     u = uniform_sql(SEED, *keys, "k")
     cols = ", ".join(keys)
     return f""",
-drawn AS (SELECT {cols}, {avoid} AS avoid, k, cast(floor({u} * (SELECT max(neg_hi) FROM vocab)) AS bigint) AS slot FROM {source}, (SELECT unnest(range({C.NEGATIVES * 3})) AS k)),
-hit AS (SELECT {cols}, k, pattern_id FROM drawn ASOF JOIN (SELECT * FROM vocab WHERE neg_hi > neg_lo) v ON drawn.slot >= v.neg_lo WHERE pattern_id <> avoid),
-negs AS (SELECT {cols}, list(pattern_id ORDER BY k)[1:{C.NEGATIVES}] AS negatives FROM hit GROUP BY ALL)"""
+own AS (SELECT pattern_id AS avoid, neg_lo AS own_lo, neg_hi - neg_lo AS own FROM vocab),
+asked AS (SELECT s.*, own_lo, coalesce(own, 0) AS own, (SELECT max(neg_hi) FROM vocab) - coalesce(own, 0) AS rest FROM {source} s LEFT JOIN own ON own.avoid = s.{avoid}),
+draws AS (SELECT *, cast(floor({u} * rest) AS bigint) AS place FROM asked, (SELECT unnest(range({C.NEGATIVES})) AS k) WHERE rest > 0),
+drawn AS (SELECT {cols}, k, place + CASE WHEN place >= own_lo THEN own ELSE 0 END AS slot FROM draws),
+hit AS (SELECT {cols}, k, pattern_id FROM drawn ASOF JOIN (SELECT * FROM vocab WHERE neg_hi > neg_lo) v ON drawn.slot >= v.neg_lo),
+negs AS (SELECT {cols}, list(pattern_id ORDER BY k) AS negatives FROM hit GROUP BY ALL)"""
 
 
 PVDBOW_SQL = ", pairs AS (SELECT d.graph_id, line_no, graph_row AS target, pattern_id AS context FROM docs d JOIN vocab ON pattern = tokens[1] JOIN grows USING (graph_id))"
@@ -511,9 +514,13 @@ def _pattern_vectors(prob: DataFrame) -> DataFrame:
     return prob.select("pattern").distinct().select("pattern", F.array(*[uniform(5, F.col("pattern"), F.lit(j)) * 2 - 1 for j in range(DIM)]).alias("vector"))
 
 
-@query(PROB_SQL + " SELECT a.graph_id AS g1, b.graph_id AS g2, round(sum(a.prob * b.prob), 6) AS k FROM prob a JOIN prob b ON a.pattern = b.pattern AND a.graph_id <= b.graph_id GROUP BY ALL")
+@query(
+    PROB_SQL + """, n AS (SELECT graph_id, sum(cnt) AS n FROM c GROUP BY 1),
+pairs AS (SELECT a.graph_id AS g1, b.graph_id AS g2, sum(a.cnt * b.cnt) AS x FROM c a JOIN c b ON a.pattern = b.pattern AND a.graph_id <= b.graph_id GROUP BY ALL)
+SELECT g1, g2, x / (a.n * b.n) AS k FROM pairs JOIN n a ON a.graph_id = g1 JOIN n b ON b.graph_id = g2"""
+)
 def mle_kernel(spark, sf_dir):
-    return K.mle_kernel(_prob(spark, sf_dir)).withColumn("k", _r(F.col("k")))
+    return K.mle_kernel_of_counts(_prob(spark, sf_dir))
 
 
 @query(PROB_SQL + PATTERN_VECTOR_SQL + GRAPH_VECTOR_SQL + " SELECT a.graph_id AS g1, b.graph_id AS g2, round(list_dot_product(a.v, b.v), 6) AS k FROM gv a JOIN gv b ON a.graph_id <= b.graph_id")
