@@ -5,7 +5,7 @@ the left symbol and the pair it was made for; entries whose symbols have changed
 skipped. Decoding joins the vocabulary strings of the ids.
 
 Texts are first put into normal form C, white space runs become one space, letters are lowered one code
-point at a time. Defined results: null and empty texts have no ids and decode to the empty text; ids
+point at a time; letters and numbers are those of Unicode 16, as the library has them. Defined results: null and empty texts have no ids and decode to the empty text; ids
 outside the vocabulary decode to nothing; rows are independent; an empty table gives an empty result.
 """
 
@@ -24,8 +24,32 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, rows, sha256_hex
 from .vocabulary import added_splitter, byte_alphabet, load
 
+# Code points (first and last, hexadecimal) that the regex module calls letters or numbers and the
+# library, whose tables are those of Unicode 16, does not.
+NOT_LETTERS = """558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D
+107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A 11DB0-11DDB 11DF1-11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168 1D6A6-1D6A6 1DF1F-1DF24
+1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
+2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+NOT_NUMBERS = "11DE0-11DE9 1246F-1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Capital letters (first and last) newer than Python's tables, and how far away their small letters are.
+NEWER_CAPITALS = {"1C89-1C89": 1, "A7CB-A7CB": -0xA567, "A7CC-A7CC": 1, "A7CE-A7CE": 1, "A7D2-A7D2": 1, "A7D4-A7D4": 1, "A7DA-A7DA": 1, "A7DC-A7DC": -0xA641, "10D50-10D65": 0x20, "16EA0-16EB8": 0x1B}
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b, 16)) for a, b in (r.split("-") for r in text.split())]
+
+
+def _class(name: str, but: str) -> str:
+    """A character class without some ranges."""
+    return rf"[\p{{{name}}}--[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _ranges(but)) + "]]"
+
+
+LETTER, NUMBER = _class("L", NOT_LETTERS), _class("N", NOT_NUMBERS)
+LOWER = {c: c + d for r, d in NEWER_CAPITALS.items() for a, b in _ranges(r) for c in range(a, b + 1)}
+NEWER = re.compile("[" + "".join(map(chr, LOWER)) + "]")
 #: The pattern of pieces that are kept, and the mark of a word's end.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+PIECE = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|[^\p{{White_Space}}{LETTER}{NUMBER}]+"
 PIECE_ASCII = r"'(?:[stmd]|re|ve|ll)|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+"
 WORD_END = "</w>"
 REMEMBERED = 300_000
@@ -49,7 +73,8 @@ class WordBPE(dict):
         if text.isascii():
             return text.lower()
         text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return low.translate(LOWER) if NEWER.search(low) else low
 
     def merge(self, piece: str) -> list[str]:
         """The symbols of one piece after all merges."""
