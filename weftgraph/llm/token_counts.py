@@ -184,9 +184,25 @@ class TextPrefixes:
         return self.sums[k] + sum(self.counter[p] for p in self.counter.pieces(self.text[start:length]))
 
     def truncate(self, budget: int) -> int:
-        """A longest run of whole pre-tokens of at most ``budget`` tokens, as a length in code points."""
+        """The prefix, in code points, that fills ``budget`` tokens and encodes to no more by itself.
+
+        Whole pre-tokens first, then the prefix table of the one that does not fit: its longest prefix of whole code points
+        whose count is still within the budget.
+        """
         k = bisect_right(self.sums, budget) - 1
-        return self.ends[k - 1] if k > 0 else 0
+        start = self.ends[k - 1] if k > 0 else 0
+        if k >= len(self.parts) or self.parts[k][1]:
+            while start and self.count(start) > budget:
+                start -= 1
+            return start
+        raw = self.parts[k][0].encode("utf-8", "replace")
+        counts = self.counter.table(raw)
+        fits = [n for n, c in enumerate(counts) if c <= budget - self.sums[k] and (n == len(raw) or raw[n] & 0xC0 != 0x80)]
+        length = start + len(raw[: fits[-1]].decode("utf-8"))
+        # White space before a cut may be split otherwise than within the text: the count of the prefix itself decides.
+        while length and self.count(length) > budget:
+            length -= 1
+        return length
 
 
 _counters: dict[str, PrefixCounter] = {}
