@@ -46,7 +46,7 @@ def pieces(token: str) -> list[str]:
         elif p[0].isdigit():
             out.append("<0>")
         else:
-            out.append(p[:4])
+            out.append(p)
     return out
 
 
