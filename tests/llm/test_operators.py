@@ -49,7 +49,11 @@ def test_prefix_counts():
         t = t[:60]
         p = c.prefixes(t)
         assert [p.count(k) for k in range(len(t) + 1)] == [len(lib.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
-        assert all(p.count(p.truncate(b)) <= b for b in (0, 1, 5, 1000))
+        counts = [p.count(k) for k in range(len(t) + 1)]
+        for b in (0, 1, 2, 5, 1000):
+            cut = p.truncate(b)
+            # No longer prefix within the budget, but for those that end inside white space.
+            assert counts[cut] <= b and all(counts[k] > b or t[k - 1].isspace() or t[cut : k - 1].isspace() for k in range(cut + 1, len(t) + 1)), (t, b)
 
 
 def test_bpe(spark, sample):
@@ -63,6 +67,18 @@ def test_bpe(spark, sample):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_on_every_code_point():
+    """All code points, each between letters and next to a digit, in lines of many."""
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    c = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(every), 256):
+        line = " ".join(f"a{x}b 1{x}{x}" for x in every[k : k + 256])
+        if c.encode(line) != lib.encode(line, add_special_tokens=False).ids:
+            for x in every[k : k + 256]:
+                assert c.encode(f"a{x}b 1{x}{x}") == lib.encode(f"a{x}b 1{x}{x}", add_special_tokens=False).ids, hex(ord(x))
+
+
 def lower_ascii(t):
     return (t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
@@ -319,6 +335,13 @@ def test_decontamination(spark, data, sample):
     assert by_join == got
     left = decontaminate.decontaminate(docs_of(spark, texts), items)
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4]
+    # Rows that share an id or have none, and clashing names.
+    odd = spark.createDataFrame([(1, item, 1, 2), (1, "x", 1, 2), (None, item, 1, 2), (None, None, 1, 2)], "doc_id long, text string, found int, row int")
+    for limit in (1, 10**6):
+        left = decontaminate.decontaminate(odd, items, broadcast_shingles=limit)
+        assert left.columns == odd.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, "x"), (None, None)])
+        got = decontaminate.contamination(odd, items.union(items.where("item_id = 1")), broadcast_shingles=limit).collect()
+        assert sorted((r["doc_id"] or 0, r["n_items"], r["item_ids"], r["contaminated"]) for r in got) == [(0, 0, [], False), (0, 1, [1], True), (1, 0, [], False), (1, 1, [1], True)]
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     sets = {r["item_id"]: set(shingle_set(r["text"]).tolist()) for r in bench.collect()}
     want = {(r["doc_id"], i) for r in sample.collect() for s in [set(shingle_set(r["text"]).tolist())] for i, x in sets.items() if len(x & s) >= 0.75 * len(x)}

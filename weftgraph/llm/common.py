@@ -95,7 +95,7 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]
         yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` after the batches are bounded; ``make`` gets an iterator of record batches."""
     bounded_batches(df.sparkSession)
     return df.mapInArrow(make, schema)
