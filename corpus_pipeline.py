@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.bpe import bpe_digests
-from weftgraph.llm.common import materialize, table
+from weftgraph.llm.common import Scratch, materialize, table
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.jaccard_join import one_of_each_group
 from weftgraph.llm.line_dedup import line_dedup
@@ -55,15 +55,21 @@ STAGES: list[tuple[str, Stage]] = [
     ("BPE encoding", encoding),
 ]
 
-#: SQL can't express the stages; the result is tested against a plain version of each.
+#: SQL can't express the stages; each is tested against a plain version of it.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again.
+
+    The last stage is written too, so that all tables of the stages before it are deleted by then.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}-{name.replace(' ', '-')}")
+    with Scratch(spark) as scratch:
+        for k, (name, stage) in enumerate(STAGES):
+            before, made = docs, stage(spark, docs, sf_dir)
+            last = k == len(STAGES) - 1
+            docs = materialize(made, "pipeline") if last else scratch(made, name.replace(" ", "-"))
+            if k:
+                scratch.drop(before)
     return docs
