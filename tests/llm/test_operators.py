@@ -363,6 +363,29 @@ def test_html(spark):
     assert got[1][1] == len(got[1][0])
 
 
+def text_of(html):
+    return "\n".join(t for t, _ in html_extract.blocks(html)[0])
+
+
+def test_html_names():
+    for open_, close in (("<article class='post has-sidebar'>", "</article>"), ("<div class='layout no-sidebar'>", "</div>"), ("<main id='content-with-toolbar'>", "</main>"), ("<div class='sidebar-layout'><article>", "</article></div>")):
+        assert text_of(f"<body>{open_}<p>One</p><p class='related-work'>Two</p>{close}</body>") == "One\nTwo", open_
+    for extra in ("<div class='cookie-notice'>x</div>", "<div id='comments'><article class='comment'>x</article></div>", "<p class='advert'>x</p>", "<div class='site_footer'>x</div>", "<ul role=navigation><li>x</ul>"):
+        assert text_of(f"<body><article><p>One</p>{extra}</article></body>") == "One", extra
+
+
+def test_html_of_odd_pages(spark):
+    import time
+
+    began = time.time()
+    assert "x" in text_of("x" + "<a " * 20_000) and text_of("<div>" * 300 + "deep" + "</div>" * 300) == "deep"
+    assert len(text_of("<p>word " * 20_000).split("\n")) == 20_000
+    assert time.time() - began < 20
+    pages = [(1, "http://a/1", "<p>a", 7), (1, "http://a/1", "<p>a", 7), (1, "http://a/1", "<p>b", 7), (None, "http://a/2", "<p>c", 7)]
+    got = html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string, host int"))
+    assert sorted(r["text"] for r in got.collect()) == ["a", "a", "b", "c"]
+
+
 def test_warc(spark):
     rng = random.Random(9)
     big = "<p>" + prose(400, rng) + "</p>"

@@ -13,7 +13,7 @@ and joined by a line feed; ``br`` is white space.
 
 Defined results: a null or empty html, or a page without text, gives the empty text; a null url has no
 host and the page stands alone; the pages of a host of fewer than LEAST_PAGES different pages lose
-nothing by statistics; unclosed elements end where their parent ends or where HTML implies it; repeated
+nothing by statistics; an article is not lost by a word of its layout; unclosed elements end where their parent ends or where HTML implies it; repeated
 rows give equal rows; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -45,10 +45,15 @@ SCOPE = frozenset("html body table ul ol dl menu article section main div select
 #: Words of class, id and role that name what is not the article.
 NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar aside comment comments commentlist discussion disqus replies navigation nav navbar menu breadcrumb breadcrumbs pagination pager footer masthead newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget complementary contentinfo search toolbar".split())
 CONTAINERS = frozenset({"article", "main"})
+#: Elements that hold text themselves; words of layouts; names that a wrapper of the whole page may have as well.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption td th tr b i em strong code".split())
+DESCRIBING = frozenset("has no not with without is hide hidden".split())
+WRAPPERS = frozenset("ad ads banner cookie cookies gdpr notice notices sidebar aside nav navigation navbar menu footer masthead pagination share sharing social widget toolbar search popup modal overlay subscription".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z0-9]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)")
 
 
@@ -57,22 +62,33 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
-def _named_away(tag: str, attributes: str) -> bool:
+def _name_of_extra(tag: str, attributes: str) -> str | None:
+    """The word by which an element is not part of the article; None for all others.
+
+    A class, id or role counts as a whole; on containers its parts count too ("cookie-notice", "site_footer"), unless
+    it describes a layout ("has-sidebar", "no-sidebar", "content-with-toolbar").
+    """
     if not attributes.strip():
-        return False
+        return None
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body") and not NOT_ARTICLE.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
+            return "hidden"
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            for token in value.split():
+                if token in NOT_ARTICLE:
+                    return token
+                parts = WORD.findall(token)
+                if tag not in TEXT_LEVEL and tag not in CONTAINERS and DESCRIBING.isdisjoint(parts):
+                    if found := [w for w in parts if w in NOT_ARTICLE]:
+                        return found[-1]
+    return None
 
 
 class Node:
     __slots__ = ("drop", "hash", "inside", "key", "tag", "up")
 
-    def __init__(self, tag: str, key: str, up: Node | None, drop: bool):
+    def __init__(self, tag: str, key: str, up: Node | None, drop: str | None):
         self.tag, self.key, self.up, self.drop = tag, key, up, drop
         self.inside = tag in CONTAINERS or (up is not None and up.inside)
         self.hash = blake2b(key.encode("utf-8", "replace"), digest_size=8)
@@ -80,7 +96,7 @@ class Node:
 
 def blocks(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """(text, hashes of the subtrees around it) of each block that stays by name, in page order; hashes of all block subtrees."""
-    root = Node("#root", "", None, False)
+    root = Node("#root", "", None, None)
     here, nodes, found, pending = root, [], [], []
 
     def flush() -> None:
@@ -122,8 +138,10 @@ def blocks(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             pending.append(part)
 
     html, at = html or "", 0
+    # Past the last of these nothing is a tag or a comment; looking for one would take the square of the length.
+    last = max(html.rfind(">"), html.rfind("<!--"), html.rfind("<![CDATA[")) + 1
     while at < len(html):
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at) if at < last else None
         if m is None:
             text(html[at:])
             break
@@ -152,12 +170,15 @@ def blocks(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             if tag not in ("wbr",):
                 pending.append(" ")
             continue
-        drop = here.drop or tag in DROPPED or (tag == "header" and not here.inside) or _named_away(tag, m[3])
+        own = "<" if tag in DROPPED or (tag == "header" and not here.inside) else _name_of_extra(tag, m[3])
+        # The first article (or main) is not lost with a wrapper that only names a part of the page.
+        wrapped = tag in CONTAINERS and here.drop in WRAPPERS and not any(n.tag in CONTAINERS and not n.drop for n in nodes)
+        drop = own or (None if wrapped else here.drop)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        here = Node(tag, f"{tag} {' '.join(sorted(WORD.findall(m[3].lower())))[:200]}" if tag not in ("a", "html") else tag, here, drop)
+        here = Node(tag, f"{tag} {' '.join(sorted(WORD.findall(m[3].lower())))}" if tag not in ("a", "html") else tag, here, drop)
         nodes.append(here)
     while here.up is not None:
         close(here)
