@@ -192,3 +192,11 @@ def test_negatives_are_always_as_many_as_asked(spark):
     assert {x for i, v in got.items() if i % 4 == 0 for x in v} >= {1} and {x for i, v in got.items() if i % 4 == 1 for x in v} >= {0}
     alone = vocab.where("pattern_id = 0")
     assert C.negatives(targets.where("avoid = 0"), alone, ["i"], "avoid").count() == 0
+
+
+def test_gexf_labels_with_special_characters(spark, tmp_path):
+    names = ['a&b', 'a"b', "a'b", "<x>", "a\"b'c&amp;", "plain"]
+    (tmp_path / "7.gexf").write_text(gexf.gexf_text(list(enumerate(names, 1)), [(1, 2, 1.0), (2, 3, 2.0)]))
+    back = gexf.read_gexf(spark, str(tmp_path))
+    assert {r["node_id"]: r["label"] for r in back.nodes.collect()} == dict(enumerate(names, 1))
+    assert {(r["src"], r["dst"], r["weight"]) for r in back.edges.collect()} == {(1, 2, 1.0), (2, 3, 2.0)}

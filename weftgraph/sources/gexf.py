@@ -20,6 +20,15 @@ def _files(spark: SparkSession, folder: str, max_files: int) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([0-9]+)\.gexf$", 1).cast("bigint").alias("graph_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("graph_name"), "value")
 
 
+def _attribute(element, name: str):
+    """The value of an attribute in either kind of quotes, with its character references read; empty without it."""
+    pattern = rf"""\b{name}=(?:"([^"]*)"|'([^']*)')"""
+    value = F.concat(F.regexp_extract(element, pattern, 1), F.regexp_extract(element, pattern, 2))
+    for reference, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#9;", "\t"), ("&#10;", "\n"), ("&#13;", "\r"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return value
+
+
 def read_gexf(spark: SparkSession, folder: str, label: str = "Label", labels_file: str | None = None, max_files: int = 0) -> GraphDataset:
     """Graphs, nodes and edges of all files below ``folder`` (the first ``max_files`` in path order, 0: all).
 
@@ -27,19 +36,19 @@ def read_gexf(spark: SparkSession, folder: str, label: str = "Label", labels_fil
     these are whole numbers, else their places.
     """
     files = _files(spark, folder, max_files)
-    declared = F.array_join(F.regexp_extract_all("value", F.lit(r"(?s)<attributes\b[^>]*\bclass=\"node\"[^>]*>.*?</attributes>"), F.lit(0)), "")
-    titled = F.filter(F.regexp_extract_all(declared, F.lit(r"<attribute\b[^>]*>"), F.lit(0)), lambda a: F.regexp_extract(a, r'\btitle="([^"]*)"', 1) == F.lit(label))
-    for_id = F.regexp_extract(F.get(titled, F.lit(0)), r'\bid="([^"]*)"', 1)
+    declared = F.array_join(F.regexp_extract_all("value", F.lit(r"(?s)<attributes\b[^>]*\bclass=[\"']node[\"'][^>]*>.*?</attributes>"), F.lit(0)), "")
+    titled = F.filter(F.regexp_extract_all(declared, F.lit(r"<attribute\b[^>]*>"), F.lit(0)), lambda a: _attribute(a, "title") == F.lit(label))
+    for_id = _attribute(F.get(titled, F.lit(0)), "id")
     # One path for the attribute of all nodes would lose the nodes without it, so nodes are read piece by piece.
     pieces = F.regexp_extract_all("value", F.lit(r"(?s)<node\b[^>]*?(?:/>|>.*?</node>)"), F.lit(0))
     parts = files.select("graph_id", for_id.alias("attr"), F.posexplode(pieces).alias("place", "piece"))
-    own = F.regexp_extract("piece", r'<node\b[^>]*?\bid="([^"]*)"', 1)
+    own = _attribute(F.regexp_extract("piece", r"<node\b[^>]*", 0), "id")
     values = F.regexp_extract_all("piece", F.lit(r"<attvalue\b[^>]*>"), F.lit(0))
-    mine = F.filter(values, lambda v: F.regexp_extract(v, r'\bfor="([^"]*)"', 1) == F.col("attr"))
-    got = F.when(F.size(mine) > 0, F.regexp_extract(F.element_at(mine, 1), r'\bvalue="([^"]*)"', 1))
+    mine = F.filter(values, lambda v: _attribute(v, "for") == F.col("attr"))
+    got = F.when(F.size(mine) > 0, _attribute(F.element_at(mine, 1), "value"))
     raw = parts.select("graph_id", own.alias("xml_id"), got.alias("label"), F.when(own.rlike("^[0-9]+$"), own.cast("int")).otherwise(F.col("place") + 1).alias("node_id"))
     links = files.select("graph_id", F.explode(F.regexp_extract_all("value", F.lit(r"<edge\b[^>]*>"), F.lit(0))).alias("piece"))
-    attr = lambda n: F.regexp_extract("piece", rf'\b{n}="([^"]*)"', 1)
+    attr = lambda n: _attribute(F.col("piece"), n)
     weight = F.when(attr("weight") != "", attr("weight").cast("double")).otherwise(F.lit(1.0))
     links = links.select("graph_id", attr("source").alias("s"), attr("target").alias("t"), weight.alias("weight"))
     ids = raw.select("graph_id", "xml_id", "node_id")
