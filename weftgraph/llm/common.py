@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Records and bytes of one Arrow batch: with texts of 100 kB a batch stays near 16 MB.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -101,6 +102,24 @@ def map_arrow(df: DataFrame, make: Callable, schema: str | StructType) -> DataFr
     return df.mapInArrow(make, schema)
 
 
+def squeeze(df: DataFrame) -> DataFrame:
+    """``df`` with each whole ``text`` as a Zstandard frame (null: null), for shuffles of whole texts; :func:`unsqueeze` undoes it."""
+    at = df.columns.index("text")
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            yield batch.set_column(at, "text", pa.array([packer.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary()))
+
+    return map_arrow(df, run, StructType([StructField("text", BinaryType()) if k == at else f for k, f in enumerate(df.schema)]))
+
+
+def unsqueeze(texts: pa.Array) -> list[str | None]:
+    reader = zstandard.ZstdDecompressor()
+    return [reader.decompress(t.as_buffer()).decode("utf-8") if t.is_valid else None for t in texts]
+
+
 def by_group(df: DataFrame, keys: list[str], make: Callable, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
     """The rows that ``make`` returns for each group of equal keys.
 

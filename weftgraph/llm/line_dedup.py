@@ -12,6 +12,8 @@
    differs. They reach to the next match with the same shift, or so far that there must be one.
 5. Joined ranges of LEAST_WORDS words or more are deleted where they occur later.
 
+Texts are shuffled twice, to the places asked for and to the ranges to delete, as one Zstandard frame each.
+
 So a passage of LEAST_WORDS words that stands in two documents, and of which no line stands anywhere before,
 goes from the second, to the word; a line that also stands earlier is compared with that place. Repeats
 of fewer words stay, whole short lines too. Nothing goes that was not there before: each deleted word lies in a
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, materialize, rows
+from .common import Scratch, map_arrow, materialize, rows, squeeze, unsqueeze
 from .wordhash import GOLDEN, mix, words_of
 
 LINE, WINDOW, LEAST_WORDS = 16, 30, 45
@@ -131,7 +133,7 @@ def _words(batches):
         first, last = a0.to_numpy().copy(), end.to_numpy().copy()
         first[own], last[own] = places[cuts[:-1][own]], places[cuts[1:][own] - 1]
         parts, sizes, k = [], [], 0
-        for w, n in zip(words_of(texts.to_pylist()), per_doc.tolist(), strict=True):
+        for w, n in zip(words_of(unsqueeze(texts)), per_doc.tolist(), strict=True):
             lo, hi = np.maximum(first[k : k + n] - BEFORE, 0), np.minimum(last[k : k + n] + AFTER, len(w))
             parts.append((w >> np.uint64(32)).astype(np.uint32)[_spans(lo, hi - lo)])
             sizes.append(hi - lo)
@@ -223,7 +225,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         chain = ["at", *source, "hot"]
         sources = uses.select(F.col("d0").alias("doc_id"), F.col("k0").alias("key"), F.array().cast("array<int>").alias("at"), *source, "hot")
         asked = chains.join(uses, source).select("doc_id", "key", *chain).unionByName(sources).groupBy("doc_id", "key").agg(F.collect_list(F.struct(*chain)).alias("asked"))
-        words = scratch(map_arrow(docs.join(asked, ["doc_id", "key"]), _words, STRETCH), "words")
+        words = scratch(map_arrow(squeeze(docs).join(asked, ["doc_id", "key"]), _words, STRETCH), "words")
         later = words.where(F.size("at") > 0)
         there = words.where(F.size("at") == 0).select(*source, "hot", F.col("before").alias("before0"), F.col("words").alias("words0")).dropDuplicates(source)
         met = _met(later, there, source)
@@ -271,20 +273,20 @@ def delete_runs(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without later repeated runs (n_chars, where there is one, follows the text)."""
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
-    joined = packed.join(repeated_runs(docs), ["doc_id", "key"], "left").select("row", "lo", "hi")
+    others = [n for n in names if n != "text"]
+    packed = docs.select(F.struct(*(F.col(f"`{n}`") for n in others)).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
+    joined = squeeze(packed).join(repeated_runs(docs), ["doc_id", "key"], "left").select("row", "text", "lo", "hi")
 
     def run(batches):
         for batch in batches:
-            columns = dict(zip(names, batch.column(0).flatten(), strict=True))
-            lo, hi = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            texts = columns["text"].to_pylist()
+            columns = dict(zip(others, batch.column(0).flatten(), strict=True))
+            texts, lo, hi = unsqueeze(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             cut = [delete_runs(t, list(zip(a, b, strict=True))) if a else t for t, a, b in zip(texts, lo, hi, strict=True)]
             columns["text"] = pa.array(cut, pa.string())
             if "n_chars" in columns:
                 old = columns["n_chars"]
                 columns["n_chars"] = pa.array([len(c) if a else n for c, a, n in zip(cut, lo, old.to_pylist(), strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return map_arrow(joined, run, docs.schema)
 
