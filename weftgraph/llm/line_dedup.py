@@ -12,7 +12,8 @@
    differs. They reach to the next match with the same shift, or so far that there must be one.
 5. Joined ranges of LEAST_WORDS words or more are deleted where they occur later.
 
-Texts are shuffled twice, to the places asked for and to the ranges to delete, as one Zstandard frame each.
+Texts are shuffled twice, to the places asked for and to the ranges to delete, as one Zstandard frame each;
+by merge joins at every size, since a broadcast would put two Python workers in one task.
 
 So a passage of LEAST_WORDS words that stands in two documents, and of which no line stands anywhere before,
 goes from the second, to the word; a line that also stands earlier is compared with that place. Repeats
@@ -225,7 +226,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         chain = ["at", *source, "hot"]
         sources = uses.select(F.col("d0").alias("doc_id"), F.col("k0").alias("key"), F.array().cast("array<int>").alias("at"), *source, "hot")
         asked = chains.join(uses, source).select("doc_id", "key", *chain).unionByName(sources).groupBy("doc_id", "key").agg(F.collect_list(F.struct(*chain)).alias("asked"))
-        words = scratch(map_arrow(squeeze(docs).join(asked, ["doc_id", "key"]), _words, STRETCH), "words")
+        words = scratch(map_arrow(squeeze(docs).join(asked.hint("merge"), ["doc_id", "key"]), _words, STRETCH), "words")
         later = words.where(F.size("at") > 0)
         there = words.where(F.size("at") == 0).select(*source, "hot", F.col("before").alias("before0"), F.col("words").alias("words0")).dropDuplicates(source)
         met = _met(later, there, source)
@@ -275,7 +276,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     names = docs.columns
     others = [n for n in names if n != "text"]
     packed = docs.select(F.struct(*(F.col(f"`{n}`") for n in others)).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
-    joined = squeeze(packed).join(repeated_runs(docs), ["doc_id", "key"], "left").select("row", "text", "lo", "hi")
+    joined = squeeze(packed).join(repeated_runs(docs).hint("merge"), ["doc_id", "key"], "left").select("row", "text", "lo", "hi")
 
     def run(batches):
         for batch in batches:
