@@ -225,20 +225,21 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         uses = scratch(uses.select(*source, (F.col("n") * HOT_SHARE > chains.count()).alias("hot")), "sources")
         chain = ["at", *source, "hot"]
         sources = uses.select(F.col("d0").alias("doc_id"), F.col("k0").alias("key"), F.array().cast("array<int>").alias("at"), *source, "hot")
-        asked = chains.join(uses, source).select("doc_id", "key", *chain).unionByName(sources).groupBy("doc_id", "key").agg(F.collect_list(F.struct(*chain)).alias("asked"))
+        asked = chains.withColumn("hot", F.lit(False)).select("doc_id", "key", *chain).unionByName(sources).groupBy("doc_id", "key").agg(F.collect_list(F.struct(*chain)).alias("asked"))
         words = scratch(map_arrow(squeeze(docs).join(asked.hint("merge"), ["doc_id", "key"]), _words, STRETCH), "words")
         later = words.where(F.size("at") > 0)
         there = words.where(F.size("at") == 0).select(*source, "hot", F.col("before").alias("before0"), F.col("words").alias("words0")).dropDuplicates(source)
-        met = _met(later, there, source)
+        met = _met(later, there, source, uses)
         ranges = map_arrow(met, _extend, "doc_id long, key int, lo long, hi long")
         by_doc = ranges.groupBy("doc_id", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
         return materialize(map_arrow(by_doc, _long_runs, "doc_id long, key int, lo array<long>, hi array<long>"), "runs")
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join; the hot rows of ``right``, at most HOT_SHARE, are broadcast."""
+def _met(left: DataFrame, right: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """Inner join; the hot rows of ``right``, at most HOT_SHARE (their keys are in ``known``), are broadcast and what meets them is not shuffled."""
     left = left.drop("hot")
-    return left.join(right.where("not hot"), keys).unionByName(left.join(F.broadcast(right.where("hot")), keys))
+    others = left.join(F.broadcast(known.where("hot").select(*keys)), keys, "left_anti")
+    return others.join(right.where("not hot"), keys).unionByName(left.join(F.broadcast(right.where("hot")), keys))
 
 
 def _later_occurrences(marks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -247,10 +248,10 @@ def _later_occurrences(marks: DataFrame, scratch: Scratch) -> DataFrame:
     total = marks.agg(F.sum(F.size("fp"))).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
     seen = scratch(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d0")).where("n > 1").select("fp", "d0", hot.alias("hot")), "seen")
-    shared = scratch(_met(places, seen, ["fp"]), "shared")
+    shared = scratch(_met(places, seen, ["fp"], seen), "shared")
     first = shared.where("doc_id = d0").groupBy("fp", "hot").agg(F.min(F.struct("key", "at")).alias("x"))
     first = scratch(first.select("fp", F.col("x.key").alias("k0"), F.col("x.at").alias("a0"), "hot"), "first")
-    pairs = _met(shared, first, ["fp"])
+    pairs = _met(shared, first, ["fp"], first)
     later = scratch(pairs.where("doc_id <> d0 or key <> k0 or at <> a0").drop("fp"), "later")
     scratch.drop(seen, shared, first)
     return later
