@@ -401,6 +401,29 @@ def test_warc(spark):
     assert list(warc.unpack(warc.pack(records))) == records
 
 
+def test_warc_files(spark, tmp_path):
+    rng = random.Random(10)
+    pages = [(i, f"http://a/{i}", None if i == 7 else "<p>" + prose(300, rng) + "</p>") for i in range(40)]
+    pages += [(None, None, "same"), (None, None, "same"), (41, "http://a/41", pages[0][2])]
+    # Five pages of 5 MB fill more than one archive in a task.
+    pages += [(50 + i, None, f"{i}" + "x" * 5_000_000) for i in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    folder = tmp_path / "archives"
+    made = warc.write_files(df, str(folder)).collect()
+    files = {f.name: f.stat().st_size for f in folder.iterdir() if f.name.endswith(".warc.zst")}
+    assert files == {r["file"]: r["n_bytes"] for r in made} and len(made) > 1
+    assert not list(folder.glob("*.part"))
+    assert sum(r["records"] for r in made) == df.count()
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    from_files = Counter(map(tuple, warc.read_files(spark, str(folder)).select(names).collect()))
+    assert from_files == Counter(map(tuple, warc.read_archives(warc.write_archives(df)).select(names).collect()))
+    assert sum(from_files.values()) == df.count()
+    for f in files:
+        content = (folder / f).read_bytes()
+        assert content[:4] == (0x184D2A5D).to_bytes(4, "little") and sum(1 for _ in warc.unpack(content))
+    assert warc.write_files(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_kernel_by_brute_force():
     from itertools import combinations
 

@@ -7,7 +7,8 @@ keep headers and digest, not the payload.
 
 An archive is written by the task that holds its records, once they reach ARCHIVE_BYTES; a task holds the
 records of one archive at a time. Archives are rows (archive, content) of a table in the shared folder,
-so every file system that Spark reads will do; :func:`read_files` reads the same archives from files.
+so every file system that Spark reads will do; :func:`write_files` stores the same archives as files, one
+each, and :func:`read_files` reads them back.
 
 Defined results: a null html is an empty payload; a null url leaves out the target header; line ends in a
 url are percent-encoded; equal page_ids give equal record ids, and each row its own record; rows with a
@@ -24,6 +25,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +169,36 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
+def write_files(pages: DataFrame, path: str, revisit_from: int = 1000) -> DataFrame:
+    """Store the archives of all pages in ``path`` as ``*.warc.zst`` files: archive, records, file and n_bytes of each.
+
+    ``path`` is an absolute path or URI that all executors can write to (file systems that pyarrow knows) and should be
+    new: files of earlier calls stay. The files are made from the written table of archives, named after the task, the place
+    in it and the content, and appear under their names only when whole, so a task that runs again replaces its own files.
+    """
+
+    def run(batches):
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        task = TaskContext.get()
+        made = 0
+        for batch in batches:
+            names, sizes = [], []
+            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                name = f"{task.partitionId():06d}-{made:06d}-{archive[:12]}.warc.zst"
+                part = f"{folder}/{name}.{task.taskAttemptId()}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                system.move(part, f"{folder}/{name}")
+                names.append(name)
+                sizes.append(len(content.as_buffer()))
+                made += 1
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), batch.column("records"), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["archive", "records", "file", "n_bytes"])
+
+    archives = write_archives(pages, revisit_from).select("archive", "records", "content")
+    return materialize(archives.mapInArrow(run, "archive string, records long, file string, n_bytes long"), "files")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The records of ``*.warc.zst`` files."""
     return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path))
