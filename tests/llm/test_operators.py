@@ -455,6 +455,25 @@ def test_kernel_rows_are_the_highest_of_all_windows():
         assert np.allclose(row, np.where(full >= machine.least, full, 0), atol=1e-9), u
 
 
+def test_windows_only_where_a_kernel_may_reach_the_least(monkeypatch):
+    rng = random.Random(12)
+    parts = "the ion an er ti ou st re lo mo di po us it to".split()
+    words = sorted({"".join(rng.choices(parts, k=rng.randrange(2, 6))) for _ in range(3000)} | {"ixdixot", "s.t.u.p", "m-or-o", "o" * 50 + "loser", "iidiioott" * 3, "st", "", "s\0tup\0"})
+    highest, looked = toxicity.Machine.highest, []
+    monkeypatch.setattr(toxicity.Machine, "highest", lambda self, text, *more: looked.append(len(text)) or highest(self, text, *more))
+    machine = toxicity.Machine(["idiot", "^moro", "loser$", "stup"])
+    machine.learn(set(words))
+    # Rows were words with windows for every landmark before (2200 of 2389); now they are pairs of a word and a landmark (576).
+    assert sum(looked) < 0.5 * len(words)
+    got = np.array([machine[u] if machine[u] is not None else np.zeros(4) for u in words])
+    assert (got.max(axis=0) > 0).all()
+    # Without the bounds: windows of every word for every landmark.
+    monkeypatch.setattr(toxicity.Machine, "near", lambda self, small, size: (np.repeat(np.arange(len(small)), 4), np.tile(np.arange(4), len(small))))
+    plain = toxicity.Machine(machine.landmarks)
+    plain.learn(set(words))
+    assert np.allclose(got, [plain[u] if plain[u] is not None else np.zeros(4) for u in words], rtol=0, atol=1e-12)
+
+
 def labelled(rng, n):
     rows = []
     for i in range(n):
@@ -474,6 +493,19 @@ def test_toxicity_finds_disguised_words():
     assert clean < 0.3 < plain and dotted > clean and inserted > 0.3
 
 
+def test_margins_are_those_of_distinct_units():
+    model = toxicity.fit(labelled(random.Random(10), 240), 1 / 3)
+    texts = ["Stupidhead, stupidhead! (numbskull) bake1", "n u m b s k u l l s.t.u.p.i.d", None, "...", "numb-skull s.t.u.p.i.d.h.e.a.d stupid", "x" * 90 + "numbskull"]
+    scorer = toxicity.Scorer(model)
+    for _ in range(2):
+        for text, got in zip(texts, scorer.margins(texts), strict=True):
+            machine = toxicity.Machine(model.landmarks, model.own)
+            machine.learn(set(toxicity.units(text or "")))
+            found = sorted((float(r @ model.root @ model.weights + model.bias) for r in machine.values() if r is not None), reverse=True)
+            found = [x for x in found if x > model.bias][: toxicity.WORST]
+            assert np.allclose(got, found + [model.bias] * (toxicity.WORST - len(found)), atol=1e-9), text
+
+
 def test_classifiers_on_odd_rows(spark, data, sample):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     odd = sample.unionByName(docs_of(spark, ODD, 10_000).select(sample.columns))

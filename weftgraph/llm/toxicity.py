@@ -14,7 +14,8 @@ documents that the machine has not seen.
 
 All windows of one to two times a landmark's length are looked at. A kernel below the least that two characters
 inserted anywhere in the landmark leave counts as 0; all others are exact, whichever letters a window lacks. Long
-units are read in overlapping parts.
+units are read in overlapping parts. Upper bounds of the kernel (letters that a unit has, then what its triples of
+characters come to) tell which units need windows for which landmarks.
 
 The model is fitted on at most 2 * PER_CLASS labelled rows (whole texts) outside the held-out fold and is
 small whatever the size of the corpus. Scoring is one pass without a shuffle.
@@ -45,7 +46,9 @@ LENGTH, DECAY, LANDMARKS = 3, 0.6, 32
 #: Lengths of landmarks; parts that long units are read in, and their overlap (the widest window).
 SHORT, LONG, LONGEST, OVERLAP = 4, 7, 40, 14
 #: Parts whose kernels are taken at a time; kernels below what so many inserted characters leave count as 0.
-CHUNK, INSERTED = 2000, 2
+CHUNK, INSERTED = 10_000, 2
+#: Parts with more characters of a landmark than these get windows without the bound from triples.
+BOUNDED = 12
 REMEMBERED, SCORED = 400_000, 1_000_000
 #: Units whose margins make a document's score.
 WORST = 3
@@ -56,21 +59,27 @@ DOTTED = re.compile(r"(?:\w\W){2,}\w$")
 EDGES = ".,;:!?\"'()[]{}"
 
 
+def dotted(words: list[str]) -> list[str]:
+    """Dotted runs of single characters among words, put together."""
+    return [re.sub(r"\W", "", x) for x in words if len(x) > 4 and not x.isalnum() and DOTTED.match(x)]
+
+
+def spaced(low: str) -> list[str]:
+    """Spaced runs of single characters, put together."""
+    return [re.sub(r"\s+", "", m) for m in SINGLES.findall(low)] if THREE.search(" " + low) else []
+
+
 def units(sentence: str) -> list[str]:
     """Lowered words without punctuation at their edges; runs of single characters, spaced or dotted, are put together."""
     low = sentence.lower()
     found = [x.strip(EDGES) for x in low.split()]
-    found += [re.sub(r"\W", "", x) for x in found if len(x) > 4 and not x.isalnum() and DOTTED.match(x)]
-    if THREE.search(" " + low):
-        found += [re.sub(r"\s+", "", m) for m in SINGLES.findall(low)]
-    return found
+    return found + dotted(found) + spaced(low)
 
 
 def codes(strings: list[str], width: int) -> np.ndarray:
     """Code points, -1 past the end."""
-    out = np.full((len(strings), width), -1, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s[:width]]
+    out = np.array(strings, f"U{width}").view(np.int32).reshape(len(strings), width)
+    out[np.arange(width) >= np.fromiter(map(len, strings), np.int64, len(strings))[:, None]] = -1
     return out
 
 
@@ -183,15 +192,20 @@ class Machine(dict):
         self.second, self.third = (np.array(x) for x in zip(*[(j, e) for e in range(2, self.span) for j in range(1, e)], strict=True))
         self.least = np.array([least_kernel(x) for x in landmarks])
         # A string's own kernel is least when its characters differ: below these sums no window reaches the least value.
-        self.bound = np.array([self.least * self.own * DISTINCT[np.maximum(n, LENGTH)] for n in (np.full(len(landmarks), LENGTH), self.lengths)])
+        self.bound = (self.least * self.own)[:, None] * DISTINCT * (1 - 1e-9)
         # Of a landmark's own kernel, the part of the triples made of a set of its letters bounds what strings of these letters reach.
         self.enough = []
+        # A landmark's letters numbered from 1 (others 0), and the weights of its triples by these numbers.
+        self.local, self.weight = np.zeros((len(landmarks), self.base), np.int16), np.zeros((len(landmarks), (LONG + 1) ** LENGTH))
         for k in range(len(landmarks)):
-            keys = {key: w[k] ** 2 for key, w in weights.items() if w[k] > 0}
+            keys = {key: w[k] for key, w in weights.items() if w[k] > 0}
             letters = sorted({c for key in keys for c in self._letters_of(key)})
-            share = [sum(v for key, v in keys.items() if all(m >> letters.index(c) & 1 for c in self._letters_of(key))) for m in range(1 << len(letters))]
+            share = [sum(v * v for key, v in keys.items() if all(m >> letters.index(c) & 1 for c in self._letters_of(key))) for m in range(1 << len(letters))]
             self.enough.append((np.array(letters), np.sqrt(share) >= self.least[k] * self.own[k] * (1 - 1e-9)))
-        self.by_length = [(int(n), np.flatnonzero(self.lengths == n)) for n in np.unique(self.lengths)]
+            self.local[k, letters] = np.arange(1, len(letters) + 1)
+            for key, v in keys.items():
+                x, y, z = self.local[k, list(self._letters_of(key))].tolist()
+                self.weight[k, (x * (LONG + 1) + y) * (LONG + 1) + z] = v
 
     def _letters_of(self, key: int) -> tuple[int, int, int]:
         return key // self.base**2, key // self.base % self.base, key % self.base
@@ -201,35 +215,60 @@ class Machine(dict):
         if len(self) + len(new) > REMEMBERED:
             self.clear()
         self.update(dict.fromkeys(new))
-        names = sorted(((u, p) for u in sorted(new) for p in parts(u)), key=lambda x: -len(x[1]))
+        names = sorted(((u, p) for u in new for p in parts(u)), key=lambda x: -len(x[1]))
         for a in range(0, len(names), CHUNK):
             some = names[a : a + CHUNK]
             text = codes([p for _, p in some], len(some[0][1]))
-            near = np.flatnonzero(self.can_reach(text))
-            best = self.highest(text[near]) if len(near) else np.zeros((0, len(self.landmarks)))
-            for k in np.flatnonzero(best.any(axis=1)).tolist():
-                u = some[near[k]][0]
-                row = self[u]
-                self[u] = best[k] if row is None else np.maximum(row, best[k])
-
-    def can_reach(self, text: np.ndarray) -> np.ndarray:
-        """Whether the letters of each row let some landmark's kernel reach its least value (Cauchy-Schwarz)."""
-        at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
-        has = np.zeros((len(text), self.base), bool)
-        has[np.arange(len(text))[:, None], np.where(self.letters[at] == text, at + 1, 0)] = True
-        out = np.zeros(len(text), bool)
-        for letters, enough in self.enough:
-            out |= enough[has[:, letters] @ (1 << np.arange(len(letters)))]
+            at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
+            small = np.where(self.letters[at] == text, at + 1, 0)
+            size = (text >= 0).sum(axis=1)
+            row, kind = self.near(small, size)
+            for b in range(0, len(row), CHUNK):
+                r, k = row[b : b + CHUNK], kind[b : b + CHUNK]
+                value = self.highest(text[r], small[r], size[r], k)
+                for i in np.flatnonzero(value).tolist():
+                    u = some[r[i]][0]
+                    if self[u] is None:
+                        self[u] = np.zeros(len(self.landmarks))
+                    self[u][k[i]] = max(self[u][k[i]], value[i])
+
+    def near(self, small: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and landmarks whose kernel may reach the least value, by row: by Cauchy-Schwarz over the letters, then by the triples."""
+        has = np.zeros((self.base, len(small)), bool)
+        for column in small.T:
+            has[column, np.arange(len(small))] = True
+        found = []
+        for k, (letters, enough) in enumerate(self.enough):
+            at = np.flatnonzero(enough[np.packbits(has[letters], axis=0, bitorder="little")[0]])
+            if len(at):
+                at = at[self.most(small[at], k) >= self.bound[k, np.clip(size[at], LENGTH, self.lengths[k])]]
+            found.append(at)
+        row = np.concatenate(found)
+        order = np.argsort(row, kind="stable")
+        return row[order], np.repeat(np.arange(len(found)), [len(x) for x in found])[order]
+
+    def most(self, small: np.ndarray, k: int) -> np.ndarray:
+        """At least the kernel of any window of each row with a landmark: the sum over all triples no wider than a window."""
+        local = self.local[k][small]
+        row, col = np.nonzero(local)
+        count = np.bincount(row, minlength=len(small))
+        of, letter = count[row], local[row, col]
+        fall = DECAY ** (np.arange(small.shape[1]) + 1.0) * (np.arange(small.shape[1]) < 2 * self.lengths[k])
+        out = np.where(count > BOUNDED, np.inf, 0.0)
+        for n in np.unique(count[(count >= LENGTH) & (count <= BOUNDED)]).tolist():
+            x, place = letter[of == n].reshape(-1, n), col[of == n].reshape(-1, n)
+            i, j, e = np.array(list(combinations(range(n), LENGTH))).T
+            out[count == n] = (self.weight[k][(x[:, i] * (LONG + 1) + x[:, j]) * (LONG + 1) + x[:, e]] * fall[place[:, e] - place[:, i]]).sum(axis=1)
         return out
 
-    def highest(self, text: np.ndarray) -> np.ndarray:
-        """Highest normalised kernel of a window of each row, longest rows first, with each landmark."""
+    def highest(self, text: np.ndarray, small: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Highest normalised kernel of a window of each row, longest rows first, with the row's landmark."""
         n, width = text.shape
-        size = (text >= 0).sum(axis=1)
-        at = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
-        small = np.pad(np.where(self.letters[at] == text, at + 1, 0).astype(np.int32), ((0, 0), (0, self.span)))
+        small = np.pad(small, ((0, 0), (0, self.span)))
         text = np.pad(text, ((0, 0), (0, self.span)), constant_values=-1)
-        best, both = np.zeros((n, len(self.landmarks))), np.zeros((n, self.span, len(self.landmarks)))
+        length = self.lengths[kind]
+        bound = self.bound[kind, np.clip(size, LENGTH, length)]
+        best, both = np.zeros(n), np.zeros((n, self.span))
         for start in range(width - LENGTH, -1, -1):
             live = int((size >= start + LENGTH).sum())
             if not live:
@@ -239,31 +278,27 @@ class Machine(dict):
             # both: the kernels of the windows from here on by their width; they hold those from the next place on.
             both[:live, 1:w] = both[:live, : w - 1].copy()
             pairs = int(np.searchsorted(self.third, w))
-            key = (small[:live, start, None] * self.base + small[:live, start + self.second[:pairs]]) * self.base + small[:live, start + self.third[:pairs]]
-            ids = self.place[key]
-            row, pair = np.nonzero(ids)
+            begun = np.flatnonzero(self.local[kind[:live], small[:live, start]])
+            key = (small[begun, start, None] * self.base + small[begun[:, None], start + self.second[:pairs]]) * self.base + small[begun[:, None], start + self.third[:pairs]]
+            value = self.triples[self.place[key], kind[begun, None]]
+            row, pair = np.nonzero(value)
             if len(row):
                 end = self.third[pair]
-                cell = row * w + end
-                first = np.flatnonzero(np.diff(cell, prepend=-1))
-                kinds, where = np.unique(row, return_inverse=True)
-                added = np.zeros((len(kinds), w, len(self.landmarks)))
-                added[where[first], end[first]] = np.add.reduceat(self.triples[ids[row, pair]] * (DECAY ** (end + 1.0))[:, None], first, axis=0)
-                both[kinds, :w] += np.cumsum(added, axis=1)
-            found = np.flatnonzero((both[:live, w - 1] >= self.bound[min(start, 1)] * (1 - 1e-9)).any(axis=1))
+                added = np.bincount(row * w + end, value[row, pair] * DECAY ** (end + 1.0), len(begun) * w).reshape(len(begun), w)
+                both[begun, :w] += np.cumsum(added, axis=1)
+            found = np.flatnonzero((both[:live, w - 1] >= bound[:live]) & ((left >= length[:live]) | (start == 0)))
             if not len(found):
                 continue
             own = np.sqrt(own_kernels(text[found, start : start + w]))
-            inside = np.arange(1, w + 1) <= left[found, None]
-            value = both[found, :w] * np.where(inside, 1 / np.maximum(own, 1e-12), 0.0)[:, :, None]
-            for n_chars, ks in self.by_length:
-                if n_chars <= w:
-                    best[found[:, None], ks] = np.maximum(best[found[:, None], ks], value[:, n_chars - 1 : 2 * n_chars, ks].max(axis=1))
+            chars = np.arange(1, w + 1)
+            value = both[found, :w] * np.where(chars <= left[found, None], 1 / np.maximum(own, 1e-12), 0.0)
+            fits = (chars >= length[found, None]) & (chars <= 2 * length[found, None])
+            best[found] = np.maximum(best[found], np.where(fits, value, 0.0).max(axis=1))
             if start == 0:
-                short = self.lengths > size[found, None]
+                short = length[found] > size[found]
                 best[found] = np.maximum(best[found], value[np.arange(len(found)), np.minimum(size[found], w) - 1] * short)
-        best /= self.own
-        return np.where(best >= self.least, best, 0.0)
+        best /= self.own[kind]
+        return np.where(best >= self.least[kind], best, 0.0)
 
     def of_sentences(self, sentences: list[list[str]]) -> np.ndarray:
         """The kernel row of each sentence's unit that is most like a landmark."""
@@ -406,32 +441,56 @@ def logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3)
     return a[:-1], float(a[-1])
 
 
-class Scorer(dict):
-    """unit -> margin; documents in batches."""
+class Scorer:
+    """Margins of documents in batches; each distinct word is judged once. A spaced run is kept with a space before it, which no word has."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
         self.machine = Machine(model.landmarks, model.own) if model.landmarks else None
+        self.seen: set[str] = set()
+        #: Of the words with a unit above the bias, the margins of these units.
+        self.hits: dict[str, dict[str, float]] = {}
+        self.hit: set[str] = set()
+
+    def judge(self, words: set[str]) -> None:
+        """Keep the words and the margins of their units."""
+        m, of = self.model, {}
+        for x in words:
+            u = x[1:] if x[0] == " " else x.strip(EDGES)
+            of[x] = (u, *dotted([u])) if x[0] != " " and len(u) > 4 and not u.isalnum() else (u,)
+        self.machine.clear()
+        self.machine.learn({u for us in of.values() for u in us})
+        near = [u for u, row in self.machine.items() if row is not None]
+        above = {}
+        if near:
+            margin = np.stack([self.machine[u] for u in near]) @ m.root @ m.weights + m.bias
+            above = {u: x for u, x in zip(near, margin.tolist(), strict=True) if x > m.bias}
+        self.seen |= words
+        self.hits |= {x: got for x, us in of.items() if (got := {u: above[u] for u in us if u in above})}
+        self.hit = set(self.hits)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The margins of the WORST worst distinct units of each text."""
         m = self.model
-        found = [units(t) if t else [] for t in texts]
         if self.machine is None:
             return np.full((len(texts), WORST), m.bias)
-        new = {u for f in found for u in f if u not in self}
-        if len(self) + len(new) > SCORED:
-            self.clear()
-            new = {u for f in found for u in f}
-        self.machine.clear()
-        self.machine.learn(new)
-        hits = [u for u in new if self.machine[u] is not None]
-        self.update(dict.fromkeys(new, m.bias))
-        if hits:
-            self.update(zip(hits, (np.stack([self.machine[u] for u in hits]) @ m.root @ m.weights + m.bias).tolist(), strict=True))
-        worst = [sorted((x for u in set(f) if (x := self[u]) > m.bias), reverse=True)[:WORST] for f in found]
-        return np.array([w + [m.bias] * (WORST - len(w)) for w in worst])
+        found = []
+        for t in texts:
+            low = (t or "").lower()
+            found.append(set(low.split()).union(" " + x for x in spaced(low)))
+        new = set().union(*found) - self.seen
+        if len(self.seen) + len(new) > SCORED:
+            self.seen, self.hits = set(), {}
+            new = set().union(*found)
+        self.judge(new)
+        out = np.full((len(texts), WORST), m.bias)
+        for i, f in enumerate(found):
+            above: dict[str, float] = {}
+            for x in f & self.hit:
+                above |= self.hits[x]
+            top = sorted(above.values(), reverse=True)[:WORST]
+            out[i, : len(top)] = top
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         z = self.margins(texts) @ self.model.slopes + self.model.offset
