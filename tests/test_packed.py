@@ -3,6 +3,8 @@
 import pytest
 
 from weftgraph.operators import packed
+from weftgraph.operators.graphlet import graphlet_corpus
+from weftgraph.operators.shortest_path import sp_corpus
 from weftgraph.operators.walks import awe_corpus, rw_corpus
 from weftgraph.operators.wl import wl_docs, wl_graph_counts, wl_states
 from weftgraph.plans.catalogue import QUERIES
@@ -30,6 +32,8 @@ def odd(spark):
 CASES = {
     "wl": lambda n, e: [wl_docs(wl_states(n, e, 1)), wl_graph_counts(n, e, 2)],
     "rw": lambda n, e: [rw_corpus(n, e, 3, 3, 5).docs],
+    "graphlets": lambda n, e: [graphlet_corpus(n, e, 3, 2, 4).docs, graphlet_corpus(n, e, 3, 2, 4).counts],
+    "stars": lambda n, e: [graphlet_corpus(n, e, 3, 2, 4, True).counts],
     "awe": lambda n, e: [awe_corpus(n, e, 3, None, 2, 2).docs, awe_corpus(n, e, 3, "edges_nodes", 2, 2).counts],
 }
 
@@ -42,6 +46,13 @@ def test_whole_graphs_as_the_relational_form(spark, odd, monkeypatch, name):
     assert [rows(x) for x in CASES[name](*odd)] == want
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_paths_of_whole_graphs_as_by_levels(odd, compat):
+    plain = [x.where("graph_id in (1, 4, 5, 6)") for x in odd]
+    got, want = sp_corpus(*plain, compat), sp_corpus(*plain, compat, dense_nodes=0)
+    assert rows(got.counts) == rows(want.counts) and rows(got.docs) == rows(want.docs)
+
+
 def test_graphs_are_put_together_from_blocks_of_any_size():
     import pyarrow as pa
 
@@ -61,7 +72,7 @@ def test_graphs_that_are_too_large_or_odd_are_left_to_the_relational_form(odd):
     assert packed.pack(*(x.where("graph_id in (1, 5, 6)") for x in odd)).nodes is None
 
 
-@pytest.mark.parametrize("name", ["wl_counts_doc", "wl_counts_centre", "wl_labels", "wl_docs", "random_walk_counts", "random_walk_docs", "anon_walk_counts_none", "anon_walk_counts_nodes", "anon_walk_counts_edges", "anon_walk_counts_edges_nodes"])
+@pytest.mark.parametrize("name", ["sp_counts", "sp_docs", "sp_counts_compat", "graphlet3_counts", "graphlet_star_compat", "graphlet_docs", "wl_counts_doc", "wl_counts_centre", "wl_labels", "wl_docs", "random_walk_counts", "random_walk_docs", "anon_walk_counts_none", "anon_walk_counts_nodes", "anon_walk_counts_edges", "anon_walk_counts_edges_nodes"])
 def test_nothing_is_shuffled_after_the_graphs_are_packed(spark, data, name):
     assert exchanges(QUERIES[name](spark, data)) == 0
 
