@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import corpus as C
+from weftgraph.operators import evaluate as E
+from weftgraph.operators import kernels as K
 from weftgraph.operators import objectives as O
 from weftgraph.operators import trainer
 from weftgraph.operators.relational import valid_edges
@@ -71,3 +73,33 @@ def test_a_corpus_too_large_for_one_task_is_trained_where_it_is(spark, monkeypat
 def test_sums_of_gradients():
     ids, g = trainer._summed(np.array([3, 1, 3]), np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]))
     assert ids.tolist() == [1, 3] and g.tolist() == [[3.0, 4.0], [6.0, 8.0]]
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "linear"])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_machines_without_a_kernel_matrix_are_the_same(spark, monkeypatch, kernel, classes):
+    rng = np.random.default_rng(1)
+    y = np.arange(60) % classes
+    x = rng.normal(size=(60, 3)) + y[:, None]
+    want = {r.seed: tuple(r) for r in E.cross_validate(spark, x, y, kernel, 2, 3, [0.1, 1.0]).collect()}
+    monkeypatch.setattr(E, "MAX_ROWS", 10)
+    got = {r.seed: tuple(r) for r in E.cross_validate(spark, x, y, kernel, 2, 3, [0.1, 1.0]).collect()}
+    assert got == want
+
+
+def test_kernels_by_blocks_and_without_a_join_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "LARGEST", 4)
+    monkeypatch.setattr(K, "LEAST", 1)
+    counts = [(g, p, (g * 3 + p) % 5 + 1) for g in range(11) for p in range(8) if (g * p) % 3 == 1 or (p == 7 and g < 9)]
+    made = K.mle_kernel_of_counts(spark.createDataFrame([(g, f"p{p}", n) for g, p, n in counts], "graph_id long, pattern string, cnt long"))
+    total, want = {}, {}
+    for g, p, n in counts:
+        total[g] = total.get(g, 0) + n
+        for h, q, m in counts:
+            if q == p and g <= h:
+                want[g, h] = want.get((g, h), 0) + n * m
+    assert {(r.g1, r.g2): r.k for r in made.collect()} == {(g, h): x / (total[g] * total[h]) for (g, h), x in want.items()}
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    vectors = [(i, [float(i), 1.0, 0.5 * i]) for i in range(9)]
+    got = {(r.g1, r.g2): r.k for r in K.gram(spark.createDataFrame(vectors, "graph_id long, vector array<double>")).collect()}
+    assert got == {(i, j): sum(a * b for a, b in zip(v, w, strict=True)) for i, v in vectors for j, w in vectors if i <= j}
